@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrun.llm import decontaminate, minhash, packing, quality_rules
+from tallyrun.llm import decontaminate, minhash, packing, quality_rules, suffix_array
 from tallyrun.llm.storage import written
 
 
@@ -22,6 +22,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return minhash.drop_near_duplicates(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the stretches of 200 bytes and more that start anywhere else too."""
+    return suffix_array.drop_repeats(docs)
+
+
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -35,6 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", keep_quality),
     ("near-duplicates", keep_one_of_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
     ("benchmark decontamination", keep_unleaked),
     ("packing", pack),
 ]
