@@ -8,8 +8,9 @@ make pairs.  With 40 bands of 5 coordinates a link of similarity 0.8 is missed w
 Links are confirmed on full sets, in three steps that never pair a bucket's members with each other:
 1. every class is compared with the smallest class that it shares a bucket with (its pivot);
 2. every class is compared with the class that lies closest to its pivot, which is a lightly changed copy;
-3. in buckets whose members are still in different components, the remaining pairs are compared unless sizes, or maps of what
-   each lacks of and adds to the same pivot, prove that they cannot link.
+3. in buckets whose members are still in different components, every member is compared with the closest class that most of
+   them have, and of the pairs that remain only those are compared that the sizes, and maps of what each lacks of and adds to
+   this class, leave possible.
 Components are then joined by star contraction.
 
 A null text is empty.  Texts without words have no set and link with nothing; texts of fewer than n words have their whole
@@ -156,16 +157,22 @@ def _ones(*pairs: tuple[Column, Column]) -> Column:
 def _can_link(similarity: int) -> Column:
     """Of rows x and y of a bucket: what sizes and maps leave possible.
 
-    A link needs common >= s / (100 + s) * (nx + ny).  Where both were compared with the same pivot, whatever y lacks of the
-    pivot and x does not, and whatever x adds and y does not, is missing from the common part of x; and the other way round.
+    A link needs common >= s / (100 + s) * (nx + ny).  Both were compared with the same hub; whatever y lacks of the
+    hub and x does not, and whatever x adds and y does not, is missing from the common part of x; and the other way round.
     """
     least = (F.col("x.n") + F.col("y.n")) * similarity / (100.0 + similarity)
     missing = lambda p, q: _ones((F.col(f"{q}.lacks1"), F.col(f"{p}.lacks1")), (F.col(f"{q}.lacks2"), F.col(f"{p}.lacks2")), (F.col(f"{p}.adds1"), F.col(f"{q}.adds1")), (F.col(f"{p}.adds2"), F.col(f"{q}.adds2")))
-    other = F.coalesce(F.col("x.pivot") != F.col("y.pivot"), F.lit(True))
-    near = other | ((F.col("x.n") - missing("x", "y") >= least - 1e-9) & (F.col("y.n") - missing("y", "x") >= least - 1e-9))
+    near = (F.col("x.n") - missing("x", "y") >= least - 1e-9) & (F.col("y.n") - missing("y", "x") >= least - 1e-9)
     return (F.least("x.n", "y.n") >= least - 1e-9) & near
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their root."""
+    state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
+    return state.join(keys, "key")
+
+
 def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(described rows, classes): classes has class, n_docs, rep (smallest doc_id of the class) and component_id."""
     described = written(_described(docs, n), "described")
@@ -187,13 +194,23 @@ def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     links = _links(one, similarity).union(_links(two, similarity))
     roots = written(components(links), "roots")
 
-    about = two.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "lacks1", "lacks2", "adds1", "adds2").dropDuplicates(["node"])
-    state = members.select("key", "node").join(classes.select("node", "n"), "node").join(roots, "node", "left").join(about, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
-    state = written(state.join(open_keys, "key"), "open")
+    own = two.select(F.col("b").alias("node"), F.col("a").alias("own")).dropDuplicates(["node"])
+    state = _open(members, roots).join(own, "node", "left")
+    usual = state.filter("own is not null").groupBy("key", "own").agg(F.count("*").alias("n"))
+    usual = usual.groupBy("key").agg(F.max(F.struct("n", "own")).alias("m")).select("key", F.col("m.own").alias("hub"))
+    state = written(state.join(usual, "key").select("key", "node", "hub"), "open")
+    done = two.select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    third = state.select("hub", "node").distinct().join(done, ["hub", "node"], "left_anti")
+    three = written(_compared(third.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "compared")
+    links = links.union(_links(three, similarity))
+    roots = written(components(links), "roots")
+
+    about = two.union(three).select(F.col("b").alias("node"), F.col("a").alias("hub"), "lacks1", "lacks2", "adds1", "adds2").dropDuplicates(["node", "hub"])
+    state = _open(state, roots).join(classes.select("node", "n"), "node").join(about, ["node", "hub"])
+    state = written(state, "open")
     rest = state.alias("x").join(state.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _can_link(similarity))
-    three = _compared(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets)
-    more = written(_links(three, similarity), "links")
+    last = _compared(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets)
+    more = written(_links(last, similarity), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     known = classes.select("class", "node", "rep", "n_docs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
