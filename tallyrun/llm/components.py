@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import Scratch
 
 
 def _least(arcs: DataFrame) -> DataFrame:
@@ -33,16 +33,21 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the edges (u, v); root is the smallest node reachable.  Ids are longs."""
+def components(edges: DataFrame, scratch: Scratch | None = None, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of the edges (u, v); root is the smallest node reachable.  Ids are longs.
+
+    The edges of a round are deleted when the next one's are written; the last ones stay in ``scratch``, if given, for its owner to delete.
+    """
+    scratch = scratch or Scratch(edges.sparkSession)
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = written(now, "edges")
+    now = scratch(now, "edges")
     seen = _sum(now)
     for _ in range(most_rounds):
         if not seen[0]:
             break
         step = _small_star(_large_star(now).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()).distinct()
-        then = written(step, "edges")
+        then = scratch(step, "edges")
+        scratch.drop(now)
         state = _sum(then)
         if state == seen:
             now = then

@@ -10,7 +10,7 @@ Links are confirmed on full sets, in three steps that never pair a bucket's memb
 2. every class is compared with the class that lies closest to its pivot, which is a lightly changed copy;
 3. in buckets whose members are still in different components, every member is compared with the closest class that most of
    them have, and of the pairs that remain only those are compared that the sizes, and maps of what each lacks of and adds to
-   this class, leave possible.
+   this class, leave possible: first the pair of each two components that agrees most, then whatever is still apart.
 Components are then joined by star contraction.
 
 A null text is empty.  Texts without words have no set and link with nothing; texts of fewer than n words have their whole
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import written
+from .storage import Scratch
 from .textvec import constants, mix, shingle_sets, slices
 
 SHINGLE = 5
@@ -109,15 +109,16 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return chosen.mapInArrow(collect, "node long, shingles binary").dropDuplicates(["node"])
 
 
-_COMPARED = "a long, b long, na long, nb long, common long, lacks1 long, lacks2 long, adds1 long, adds2 long"
+MAP_LONGS = 8
+_LACKS, _ADDS = ([f"{kind}{k}" for k in range(MAP_LONGS)] for kind in ("lacks", "adds"))
+_COMPARED = "a long, b long, na long, nb long, common long, " + ", ".join(f"{c} long" for c in (*_LACKS, *_ADDS))
 
 
-def _map_bits(values: np.ndarray) -> tuple[int, int]:
-    """A 128-bit map of the values' leading bits, as two signed longs."""
-    at = np.unique(values >> np.uint64(57)).astype(int)
-    bits = np.zeros(128, np.uint8)
-    bits[at] = 1
-    return tuple(np.packbits(bits).view(">i8").tolist())
+def _map_bits(values: np.ndarray) -> list[int]:
+    """A map of 64 * MAP_LONGS bits of the values' leading bits, as signed longs."""
+    bits = np.zeros(64 * MAP_LONGS, np.uint8)
+    bits[(values >> np.uint64(64 - (64 * MAP_LONGS - 1).bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(">i8").tolist()
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,11 +147,12 @@ def _links(compared: DataFrame, similarity: int) -> DataFrame:
     return compared.filter(100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _ones(*pairs: tuple[Column, Column]) -> Column:
-    """How many bits are set in the firsts and not in the seconds."""
+def _missing(p: str, q: str) -> Column:
+    """How many bits at least of what row p shares with the hub or adds to it are not in row q."""
     out = F.lit(0)
-    for one, other in pairs:
-        out = out + F.bit_count(one.bitwiseAND(F.bitwise_not(other)))
+    for lacks, adds in zip(_LACKS, _ADDS, strict=True):
+        out = out + F.bit_count(F.col(f"{q}.{lacks}").bitwiseAND(F.bitwise_not(F.col(f"{p}.{lacks}"))))
+        out = out + F.bit_count(F.col(f"{p}.{adds}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{adds}"))))
     return out
 
 
@@ -160,10 +162,8 @@ def _can_link(similarity: int) -> Column:
     A link needs common >= s / (100 + s) * (nx + ny).  Both were compared with the same hub; whatever y lacks of the
     hub and x does not, and whatever x adds and y does not, is missing from the common part of x; and the other way round.
     """
-    least = (F.col("x.n") + F.col("y.n")) * similarity / (100.0 + similarity)
-    missing = lambda p, q: _ones((F.col(f"{q}.lacks1"), F.col(f"{p}.lacks1")), (F.col(f"{q}.lacks2"), F.col(f"{p}.lacks2")), (F.col(f"{p}.adds1"), F.col(f"{q}.adds1")), (F.col(f"{p}.adds2"), F.col(f"{q}.adds2")))
-    near = (F.col("x.n") - missing("x", "y") >= least - 1e-9) & (F.col("y.n") - missing("y", "x") >= least - 1e-9)
-    return (F.least("x.n", "y.n") >= least - 1e-9) & near
+    least = (F.col("x.n") + F.col("y.n")) * similarity / (100.0 + similarity) - 1e-9
+    return (F.least("x.n", "y.n") >= least) & (F.col("x.n") - _missing("x", "y") >= least) & (F.col("y.n") - _missing("y", "x") >= least)
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -173,49 +173,74 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return state.join(keys, "key")
 
 
+def _candidates(state: DataFrame, about: DataFrame, similarity: int, one_a_root: bool) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are in different components and may link; of each two components all, or
+    only the pair that agrees most."""
+    rows = state.join(about, ["node", "hub"])
+    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _can_link(similarity))
+    pair = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("r"), F.col("y.root").alias("s"), (_missing("x", "y") + _missing("y", "x")).alias("apart"))
+    if not one_a_root:
+        return pair.select("a", "b").distinct()
+    best = pair.groupBy(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).agg(F.min(F.struct("apart", "a", "b")).alias("m"))
+    return best.select("m.a", "m.b").distinct()
+
+
 def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(described rows, classes): classes has class, n_docs, rep (smallest doc_id of the class) and component_id."""
-    described = written(_described(docs, n), "described")
+    """(rows, classes): rows has doc_id, n_shingles and class; classes has class, n_docs, rep (smallest doc_id of the class) and component_id."""
+    scratch = Scratch(docs.sparkSession)
+    described = scratch(_described(docs, n), "described")
     classes = described.filter(F.col("class").isNotNull()).groupBy("class").agg(
         F.first("keys").alias("keys"), F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.max("n_shingles").alias("n")
     )
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = classes.select(F.explode("keys").alias("key"), "node")
+    keyed = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = scratch(described.drop("keys"), "rows")
+    scratch.drop(described)
+    banded = keyed.select(F.explode("keys").alias("key"), "node")
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
-    members = written(banded.join(shared, "key"), "members")
+    members = scratch(banded.join(shared, "key"), "members")
+    classes = scratch(keyed.drop("keys"), "classes")
+    scratch.drop(keyed)
     first = members.groupBy("node").agg(F.min("low").alias("pivot"))
-    sets = written(_sets(docs, first.select("node").join(classes.select("node", "class", "rep"), "node"), n), "sets")
+    sets = scratch(_sets(docs, first.select("node").join(classes.select("node", "class", "rep"), "node"), n), "sets")
 
-    one = written(_compared(first.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets), "compared")
+    one = scratch(_compared(first.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets), "compared")
     distance = F.col("na") + F.col("nb") - 2 * F.col("common")
     closest = one.groupBy("a").agg(F.min(F.struct(distance.alias("d"), F.col("b").alias("node"))).alias("c")).select("a", F.col("c.node").alias("hub"))
     hubs = one.select("a", "b").union(one.select("a", F.col("a").alias("b")).distinct()).join(closest, "a")
-    two = written(_compared(hubs.select(F.col("hub").alias("a"), "b"), sets), "compared")
-    links = _links(one, similarity).union(_links(two, similarity))
-    roots = written(components(links), "roots")
+    two = scratch(_compared(hubs.select(F.col("hub").alias("a"), "b"), sets), "compared")
+    links = scratch(_links(one, similarity).union(_links(two, similarity)), "links")
+    roots = scratch(components(links, scratch), "roots")
 
     own = two.select(F.col("b").alias("node"), F.col("a").alias("own")).dropDuplicates(["node"])
     state = _open(members, roots).join(own, "node", "left")
     usual = state.filter("own is not null").groupBy("key", "own").agg(F.count("*").alias("n"))
     usual = usual.groupBy("key").agg(F.max(F.struct("n", "own")).alias("m")).select("key", F.col("m.own").alias("hub"))
-    state = written(state.join(usual, "key").select("key", "node", "hub"), "open")
+    state = scratch(state.join(usual, "key").select("key", "node", "hub"), "open")
     done = two.select(F.col("a").alias("hub"), F.col("b").alias("node"))
     third = state.select("hub", "node").distinct().join(done, ["hub", "node"], "left_anti")
-    three = written(_compared(third.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "compared")
-    links = links.union(_links(three, similarity))
-    roots = written(components(links), "roots")
-
-    about = two.union(three).select(F.col("b").alias("node"), F.col("a").alias("hub"), "lacks1", "lacks2", "adds1", "adds2").dropDuplicates(["node", "hub"])
-    state = _open(state, roots).join(classes.select("node", "n"), "node").join(about, ["node", "hub"])
-    state = written(state, "open")
-    rest = state.alias("x").join(state.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _can_link(similarity))
-    last = _compared(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets)
-    more = written(_links(last, similarity), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    three = scratch(_compared(third.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "compared")
+    links = scratch(links.union(_links(three, similarity)), "links")
+    roots = scratch(components(links, scratch), "roots")
+
+    about = two.union(three).select(F.col("b").alias("node"), F.col("a").alias("hub"), *_LACKS, *_ADDS).dropDuplicates(["node", "hub"])
+    about = scratch(about.join(classes.select("node", "n"), "node"), "about")
+    state = scratch(_open(state, roots).select("key", "node", "hub", "root"), "open")
+    tried = None
+    for last in (False, True):
+        pairs = _candidates(state, about, similarity, one_a_root=not last)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        tried = scratch(pairs.select("a", "b"), "pairs")
+        more = scratch(_links(_compared(tried, sets), similarity), "links")
+        if not more.isEmpty():
+            links = scratch(links.union(more), "links")
+            roots = scratch(components(links, scratch), "roots")
+            state = scratch(_open(state.drop("root"), roots).select("key", "node", "hub", "root"), "open")
     known = classes.select("class", "node", "rep", "n_docs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes"))
-    return described, known.join(least, "root").select("class", "rep", "n_docs", "n_classes", "component_id")
+    found = scratch(known.join(least, "root").select("class", "rep", "n_docs", "n_classes", "component_id"), "found")
+    scratch.clear(rows, found)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:

@@ -33,9 +33,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of an earlier round that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
+class Scratch:
+    """The written tables of one operator's run, each deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``."""
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((found, path))
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these; what was made from them must have been written."""
+        self._delete([t for t in self.tables if any(t[0] is x for x in tables)])
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete all but these."""
+        self._delete([t for t in self.tables if not any(t[0] is x for x in kept)])
+
+    def _delete(self, gone: list[tuple[DataFrame, str]]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in gone:
+            at = jvm.org.apache.hadoop.fs.Path(table[1])
+            at.getFileSystem(conf).delete(at, True)
+            self.tables.remove(table)
