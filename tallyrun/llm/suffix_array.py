@@ -12,7 +12,7 @@ repeated window; runs of the others are strings over an alphabet of phrases (anc
 4. Compare adjacent prefixes in these lists.  Equal phrases are equal bytes, so this settles all windows inside a repeated run.
 
 Windows that begin or end between phrases of a run are settled exactly afterwards, by a 128-bit hash of their bytes, counted
-over all texts; of texts that agree in a run one takes part for all.
+over all texts; of texts that agree in a run one takes part for all.  Blocks of such windows whose shared bytes occur once go first.
 
 Equal texts are one class from the start: a text of ``length`` bytes or more that has a copy is removed whole.
 All sorts are by range with ties broken by position, counts are partial before the shuffle, and a task holds one text at a time.
@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import Scratch
 from .textvec import BYTE, constants, mix, slices
 
 LENGTH = 200
 GRAM = 64
 LEVELS = 3
+BLOCK = 16
+"""Windows of one anchor are counted in blocks of so many starts first, by the bytes that all of a block share."""
 _POSITION_BITS = 24
 _BASES = tuple(int(x) for x in constants(2, 61) | np.uint64(5))
 _BYTES = (BYTE, constants(256, 99))
@@ -178,34 +180,37 @@ def _phrases(texts: DataFrame, length: int, gram: int) -> DataFrame:
 _ARROW = [(x.split()[0], pa.list_(pa.int64()) if x.endswith(">") else pa.int64()) for x in _PHRASES.split(", ")]
 
 
-def _named(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _named(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``name``, growing with the order of ``keys``; and the table of names."""
     names = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    names = written(names.withColumn("name", F.monotonically_increasing_id() + 1), "names")
+    names = scratch(names.withColumn("name", F.monotonically_increasing_id() + 1), "names")
     return rows.join(names, keys), names
 
 
-def _sample_names(strings: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _sample_names(strings: DataFrame, levels: int, scratch: Scratch) -> DataFrame:
     """(row, run, i, name) of the positions 1 and 2 modulo 3 of strings (row, run, i, c)."""
     order = Window.partitionBy("row", "run").orderBy("i")
     after = lambda k: F.coalesce(F.lead("c", k).over(order), F.lit(0))
     rows = strings.select("row", "run", "i", F.col("c").alias("k0"), after(1).alias("k1"), after(2).alias("k2")).filter("i % 3 != 0")
-    names = None
+    ranks = None
     for level in range(levels):
-        rows, names = _named(rows, ["k0", "k1", "k2"])
-        rows = written(rows.select("row", "run", "i", F.col("name")), "ranks")
-        if level == levels - 1 or names.count() == rows.count():
+        rows, names = _named(rows, ["k0", "k1", "k2"], scratch)
+        before, ranks = ranks, scratch(rows.select("row", "run", "i", F.col("name")), "ranks")
+        done = level == levels - 1 or names.count() == ranks.count()
+        scratch.drop(names, before)
+        if done:
             break
+        rows = ranks
         half = Window.partitionBy("row", "run", F.col("i") % 3).orderBy("i")
         later = lambda k: F.coalesce(F.lead("name", k).over(half), F.lit(0))  # noqa: B023, E731
         rows = rows.select("row", "run", "i", F.col("name").alias("k0"), later(1).alias("k1"), later(2).alias("k2"))
-    return rows
+    return ranks
 
 
 _ADJACENT = "row long, j long, m long, part long, last boolean, pre array<long>"
 
 
-def _adjacent(suffixes: DataFrame, keys: list[str]) -> DataFrame:
+def _adjacent(suffixes: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """(row, j, m): the leading phrases of ``pre`` that a suffix shares with a neighbour in the order of ``keys``."""
     ordered = suffixes.repartitionByRange(*keys, "row", "j").sortWithinPartitions(*keys, "row", "j")
 
@@ -236,7 +241,7 @@ def _adjacent(suffixes: DataFrame, keys: list[str]) -> DataFrame:
         if before is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((before[0], before[1], 0, number, True, before[2]), types, strict=True)], names)
 
-    found = written(ordered.select("row", "j", "pre").mapInArrow(compare, _ADJACENT), "adjacent")
+    found = scratch(ordered.select("row", "j", "pre").mapInArrow(compare, _ADJACENT), "adjacent")
     # two rows a partition: its first and last suffix, compared across the border
     edges = found.filter(F.col("part").isNotNull())
     order = Window.orderBy("part", "last")
@@ -249,23 +254,25 @@ def _adjacent(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     return found.filter("m > 0").select("row", "j", "m").union(across)
 
 
-def sorted_matches(phrases: DataFrame, levels: int = LEVELS) -> DataFrame:
+def sorted_matches(phrases: DataFrame, levels: int = LEVELS, scratch: Scratch | None = None) -> DataFrame:
     """(row, j, m) of the anchors whose first m > 0 phrases start elsewhere too, by suffix sorting."""
+    scratch = scratch or Scratch(phrases.sparkSession)
     strings = phrases.filter("c != 0").select("row", "run", "j", "i", "c", "pre")
-    names = _sample_names(strings, levels)
+    names = _sample_names(strings, levels, scratch)
     order = Window.partitionBy("row", "run").orderBy("i")
     named = strings.join(names, ["row", "run", "i"], "left")
-    rows = written(
+    rows = scratch(
         named.select(
             "row", "j", "i", "c", "pre", "name", F.coalesce(F.lead("c").over(order), F.lit(0)).alias("c1"),
             F.coalesce(F.lead("name").over(order), F.lit(0)).alias("name1"), F.coalesce(F.lead("name", 2).over(order), F.lit(0)).alias("name2"),
         ), "suffixes",
     )
     lists = [
-        _adjacent(rows.filter("i % 3 != 0"), ["name"]),
-        _adjacent(rows.filter("i % 3 != 2"), ["c", "name1"]),
-        _adjacent(rows.filter("i % 3 != 1"), ["c", "c1", "name2"]),
+        _adjacent(rows.filter("i % 3 != 0"), ["name"], scratch),
+        _adjacent(rows.filter("i % 3 != 2"), ["c", "name1"], scratch),
+        _adjacent(rows.filter("i % 3 != 1"), ["c", "c1", "name2"], scratch),
     ]
+    scratch.drop(names, rows)
     return reduce(DataFrame.union, lists).groupBy("row", "j").agg(F.max("m").alias("m"))
 
 
@@ -296,31 +303,61 @@ def _open_anchors(phrases: DataFrame, length: int, gram: int) -> DataFrame:
     return phrases.select("anchors").mapInArrow(scan, "gram long").distinct()
 
 
+def _taking(text: pa.Scalar, items: list[dict], length: int, gram: int) -> tuple[np.ndarray, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, their hashes, starts, settled, code, start of the core) of the windows that take part in the count: open ones,
+    and settled ones of the leading text of a run.  A code stands for the window's anchor and block; equal windows
+    lie alike to their anchors, so they have equal cores: the bytes that all windows of the block share."""
+    data = np.frombuffer(text.as_buffer(), np.uint8)
+    windows, at, _, rolling = _anchors(data, np.array([0, len(data)]), length, gram)
+    needed, reach, leads = np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, bool)
+    j = np.array([x["j"] for x in items])
+    needed[j], reach[j], leads[j] = [x["needed"] for x in items], [x["reach"] for x in items], [x["leads"] for x in items]
+    starts = np.flatnonzero(windows >= 0)
+    starts = starts[needed[np.searchsorted(at, windows[starts])]]
+    phrase = np.searchsorted(at, starts, "right") - 1  # -1, before the first anchor, is the spare entry
+    settled = starts + length <= reach[phrase]
+    take = ~settled | leads[phrase]
+    starts, settled = starts[take], settled[take]
+    block = (windows[starts] - starts) // BLOCK
+    return data, rolling, starts, settled, np.searchsorted(at, windows[starts]) * _blocks(length, gram) + block, windows[starts] - BLOCK * block
+
+
+def _blocks(length: int, gram: int) -> int:
+    return (length - gram) // BLOCK + 1
+
+
+def _cores(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """row, code and the core's hash of every block of windows that take part."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for row, text, anchors in zip(part.column("row").to_pylist(), part.column("text"), part.column("anchors"), strict=True):
+                _, rolling, _, _, code, cores = _taking(text, anchors.as_py(), length, gram)
+                code, first = np.unique(code, return_index=True)
+                if len(code):
+                    core = rolling.of(cores[first], cores[first] + length - BLOCK + 1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row)), pa.array(code), pa.array(core)], ["row", "code", "core"])
+
+    return texts.select("row", "text", "anchors").mapInArrow(hashes, "row long, code long, core long")
+
+
 _WINDOWS = "row long, i long, h1 long, h2 long, settled boolean"
 
 
 def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Hashes of the windows that take part in the count: open ones, and settled ones of the leading text of a run."""
+    """128-bit hashes of the windows that take part and whose code is among the text's ``codes``."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for row, text, anchors in zip(part.column("row").to_pylist(), part.column("text"), part.column("anchors"), strict=True):
-                data, items = np.frombuffer(text.as_buffer(), np.uint8), anchors.as_py()
-                windows, at, _, rolling = _anchors(data, np.array([0, len(data)]), length, gram)
-                needed, reach, leads = np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, bool)
-                j = np.array([x["j"] for x in items])
-                needed[j], reach[j], leads[j] = [x["needed"] for x in items], [x["reach"] for x in items], [x["leads"] for x in items]
-                starts = np.flatnonzero(windows >= 0)
-                starts = starts[needed[np.searchsorted(at, windows[starts])]]
-                phrase = np.searchsorted(at, starts, "right") - 1  # -1, before the first anchor, is the spare entry
-                settled = starts + length <= reach[phrase]
-                take = ~settled | leads[phrase]
+            for row, text, anchors, codes in zip(part.column("row").to_pylist(), part.column("text"), part.column("anchors"), part.column("codes"), strict=True):
+                data, rolling, starts, settled, code, _ = _taking(text, anchors.as_py(), length, gram)
+                take = np.isin(code, np.array(codes.as_py(), np.int64))
                 starts, settled = starts[take], settled[take]
                 if len(starts):
-                    codes = [r.of(starts, starts + length).view(np.int64) for r in (rolling, Rolling(data, 1))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row)), pa.array(starts), *map(pa.array, codes), pa.array(settled)], ["row", "i", "h1", "h2", "settled"])
+                    both = [r.of(starts, starts + length).view(np.int64) for r in (rolling, Rolling(data, 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row)), pa.array(starts), *map(pa.array, both), pa.array(settled)], ["row", "i", "h1", "h2", "settled"])
 
-    return texts.select("row", "text", "anchors").mapInArrow(hashes, _WINDOWS)
+    return texts.select("row", "text", "anchors", "codes").mapInArrow(hashes, _WINDOWS)
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,35 +370,44 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[at], ends[np.append(at[1:], len(starts)) - 1] if len(at) else ends[:0]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, levels: int = LEVELS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows has doc_id, key, n_bytes and n_copies of every input row; spans has key, text (bytes) and the
     removed stretches ``starts`` and ``ends`` of every text that loses some but has no copy."""
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
-    parsed = written(_parsed(docs, length, gram).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    classes = written(parsed.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("n_copies")), "classes")
+    scratch = scratch or Scratch(docs.sparkSession)
+    parsed = scratch(_parsed(docs, length, gram).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    classes = scratch(parsed.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("n_copies")), "classes")
     firsts = parsed.join(classes.select("row", "n_copies"), "row")
     anchors = firsts.select("row", F.posexplode("grams").alias("j", "gram"))
     repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    chosen = written(anchors.join(repeated, "gram").groupBy("row").agg(F.sort_array(F.collect_list("j")).alias("chosen")), "chosen")
+    chosen = scratch(anchors.join(repeated, "gram").groupBy("row").agg(F.sort_array(F.collect_list("j")).alias("chosen")), "chosen")
     wanted = firsts.join(chosen, "row").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "row", "n_copies", "chosen")
     bytes_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     bytes_ = bytes_.withColumn("key", F.unhex(F.sha2("text", 256)))
     texts = bytes_.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("row", "key", "n_copies", "text", "chosen")
-    texts = written(texts.dropDuplicates(["row"]), "texts")
+    texts = scratch(texts.dropDuplicates(["row"]), "texts")
+    rows = scratch(parsed.select("doc_id", "key", "n_bytes").join(classes.select("key", "n_copies"), "key"), "rows")
+    scratch.drop(parsed, classes, chosen)
 
-    phrases = written(_phrases(texts, length, gram), "phrases")
-    matches = sorted_matches(phrases, levels)
+    phrases = scratch(_phrases(texts, length, gram), "phrases")
+    matches = sorted_matches(phrases, levels, scratch)
     joined = phrases.join(matches, ["row", "j"], "left")
     reach = F.when(F.col("m").isNull(), F.lit(0).cast("long")).otherwise(F.col("at") + F.element_at("ext", F.col("m").cast("int")))
-    joined = written(joined.select("row", "j", "at", "gram", reach.alias("reach"), F.xxhash64(F.slice("pre", 1, F.coalesce("m", F.lit(0)).cast("int"))).alias("context")), "matches")
+    joined = scratch(joined.select("row", "j", "at", "gram", reach.alias("reach"), F.xxhash64(F.slice("pre", 1, F.coalesce("m", F.lit(0)).cast("int"))).alias("context")), "matches")
+    scratch.clear(texts, rows, joined)
     leads = joined.filter(F.col("reach") > 0).groupBy("context").agg(F.min(F.struct("row", "j")).alias("first")).select("first.*", F.lit(True).alias("leads"))
     about = F.sort_array(F.collect_list(F.struct("j", "at", "gram", "reach")))
     open_ = _open_anchors(joined.groupBy("row").agg(about.alias("anchors")), length, gram).withColumn("needed", F.lit(True))
     info = joined.join(open_, "gram", "left").join(leads, ["row", "j"], "left")
     info = info.select("row", F.struct("j", "reach", F.coalesce("needed", F.lit(False)).alias("needed"), F.coalesce("leads", F.lit(False)).alias("leads")).alias("anchor"))
-    info = info.groupBy("row").agg(F.collect_list("anchor").alias("anchors")).filter(F.exists("anchors", lambda a: a["needed"]))
-    windows = written(_windows(texts.join(info, "row"), length, gram), "windows")
+    info = scratch(info.groupBy("row").agg(F.collect_list("anchor").alias("anchors")).filter(F.exists("anchors", lambda a: a["needed"])), "info")
+    bare = texts.select("row", "text")
+    cores = scratch(_cores(bare.join(info, "row"), length, gram), "cores")
+    shared = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    codes = cores.join(shared, "core").groupBy("row").agg(F.collect_list("code").alias("codes"))
+    windows = scratch(_windows(bare.join(info.join(codes, "row"), "row"), length, gram), "windows")
+    scratch.drop(info, cores)
     counted = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     exact = windows.filter("not settled").join(counted, ["h1", "h2"]).select("row", F.col("i").alias("a"), (F.col("i") + length).alias("b"))
     runs = joined.filter(F.col("reach") >= F.col("at") + length).select("row", F.col("at").alias("a"), F.col("reach").alias("b"))
@@ -373,9 +419,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, leve
             lists = [pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column("row"), *lists], ["row", "starts", "ends"])
 
-    intervals = intervals.select("row", "a", "b").mapInArrow(union, "row long, starts array<long>, ends array<long>")
+    intervals = scratch(intervals.select("row", "a", "b").mapInArrow(union, "row long, starts array<long>, ends array<long>"), "intervals")
+    scratch.drop(joined, windows)
     spans = texts.filter("n_copies = 1").select("row", "key", "text").join(intervals, "row").select("key", "text", "starts", "ends")
-    rows = parsed.select("doc_id", "key", "n_bytes").join(classes.select("key", "n_copies"), "key")
     return rows, spans
 
 
@@ -412,7 +458,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     A stretch that begins or ends inside a character keeps the whole character; all other columns and all rows stay.
     """
-    rows, spans = repeated_spans(docs, length, gram)
+    scratch = Scratch(docs.sparkSession)
+    rows, spans = repeated_spans(docs, length, gram, scratch=scratch)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -429,7 +476,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 out.append(b"".join([*pieces, raw[at:]]).decode())
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["_key", "_cut"])
 
-    changed = written(spans.mapInArrow(cut, "_key binary, _cut string"), "cut")
+    changed = scratch(spans.mapInArrow(cut, "_key binary, _cut string"), "cut")
+    scratch.clear(rows, changed)
     copies = rows.filter((F.col("n_copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("key").alias("_key")).distinct().withColumn("_cut", F.lit(""))
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
