@@ -65,7 +65,9 @@ def mentions(texts: DataFrame, text_id: str, text: str, passages: DataFrame, pas
     p = passages.select(F.col(passage_id), F.col(passage).alias("_p"), split(passage).alias("_w")).filter(F.length("_p") > 0)
     inner = p.filter(F.size("_w") >= n + 2).withColumn("_h", F.xxhash64(F.slice("_w", 2, n))).drop("_w")
     t = texts.select(F.col(text_id), F.col(text).alias("_t"))
-    seeds = t.select(text_id, F.explode(F.array_distinct(runs(split("_t")))).alias("_h"))
+    # a lambda's variable is split once; the expression itself would be split again for every run
+    hashed = F.get(F.transform(F.array(split("_t")), runs), F.lit(0))
+    seeds = t.select(text_id, F.explode(F.array_distinct(hashed)).alias("_h"))
     pairs = seeds.join(inner.select(passage_id, "_h"), "_h").select(text_id, passage_id).distinct()
     long_ = pairs.join(t, text_id).join(inner.select(passage_id, "_p"), passage_id).filter(F.contains("_t", "_p")).select(text_id, passage_id)
     short = p.filter(F.size("_w") < n + 2).join(t, F.contains("_t", "_p")).select(text_id, passage_id)
