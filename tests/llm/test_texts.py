@@ -51,6 +51,34 @@ def test_passages(spark):
     assert substring_dedup.near_duplicate_passages(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_passages_of_variants_and_copies_equal_brute_force(spark):
+    """Groups of edited variants and two exact copies: whichever is first in a group, the copies are found."""
+    r = random.Random(7)
+    texts, groups = [], 12
+    for _ in range(groups):
+        passage = words(r, 60)
+        variants = [list(passage) for _ in range(4)]
+        for v in variants[:3]:
+            for k in r.sample(range(60), 4):
+                v[k] = "edit" + str(r.randrange(10**6))
+        texts += [words(r, 50) + v + words(r, 50) for v in [*variants, passage]]
+    width = substring_dedup.PASSAGE - substring_dedup.SHINGLE + 1
+    codes = [[" ".join(t[i : i + 5]) for i in range(len(t) - 4)] for t in texts]
+    covered, root = [set() for _ in texts], list(range(len(texts)))
+    for g in range(0, len(texts), 5):
+        for a in range(g, g + 5):
+            for b in range(a + 1, g + 5):
+                for i in range(len(codes[a]) - width + 1):
+                    p, q = set(codes[a][i : i + width]), set(codes[b][i : i + width])
+                    if 100 * len(p & q) >= 80 * len(p | q):
+                        covered[a].update(range(i, i + 50)), covered[b].update(range(i, i + 50))
+                        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    got = {x["doc_id"]: x for x in substring_dedup.near_duplicate_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert all(got[i]["class_id"] == got[i + 1]["class_id"] for i in range(3, len(texts), 5))
+    assert [got[i]["class_id"] for i in range(len(texts))] == root
+    assert [got[i]["n_dup_words"] for i in range(len(texts))] == [len(c) for c in covered]
+
+
 def test_compact_windows_hold_every_subsequence():
     values = np.random.default_rng(3).permutation(60).astype(np.uint64) << np.uint64(30)
     found = {c: (a, b) for a, c, b in substring_dedup.compact_windows(values, 7)}
