@@ -8,7 +8,8 @@ whole item if that is shorter) agrees in ``MIN_AGREEMENT`` or more of its tokens
 
 The benchmark's size is measured first.  It goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, every block
 against all documents, so what a task holds is bounded; the join itself is a sorted search in each task.
-Items shorter than the masks, of ``MIN_ITEM`` tokens and over, are sought as a whole; shorter ones are not sought.
+The masks hit every stretch of ``MIN_OVERLAP`` to 25 tokens that agrees enough, whatever tokens differ, and so every longer one, which holds
+such a stretch.  Shorter items are sought as a whole by masks of their own length, down to one token; under five tokens only exactly.
 
 Null and empty texts have no tokens and are clean; null and empty items match nothing.  Very long texts are read
 whole.  Repeated rows are judged alike, an empty table gives an empty result, and with an empty benchmark all are clean.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,7 @@ from pyspark.sql import functions as F
 from .textvec import BYTE, constants, mix, slices, word_hashes, word_starts
 
 # The masks.
-MASKS = ("111010011011", "110110101011", "101111001101", "111111")
-MIN_ITEM = 6
+MASKS = ("111010011011", "110110101011", "101111001101", "111111", "1110111", "1101011001")
 MIN_OVERLAP = 13
 MIN_AGREEMENT = 0.8
 BLOCK_CHARS = 8 << 20
@@ -59,10 +60,16 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def masks_for(lengths: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
-    """The masks, and one of ones alone for each length of an item that they are too long for."""
-    least = min(map(len, masks))
-    return (*masks, *["1" * n for n in sorted(set(lengths[(lengths >= MIN_ITEM) & (lengths < least)].tolist()))])
+def short_masks(length: int) -> list[str]:
+    """Masks as long as a short item, of which one is zero wherever ``length`` // 5 tokens may differ."""
+    n_parts, n_zero = ((1, 0), (3, 1), (4, 2))[length // 5]
+    return ["".join("0" if i * n_parts // length in zero else "1" for i in range(length)) for zero in combinations(range(n_parts), n_zero)]
+
+
+def masks_for(lengths: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[tuple[str, int]]:
+    """(mask, length of the items it is for): the masks, for all items (0), and those of each length under ``MIN_OVERLAP`` that occurs."""
+    short = sorted(set(lengths[(lengths > 0) & (lengths < MIN_OVERLAP)].tolist()))
+    return [(m, 0) for m in masks] + [(m, n) for n in short for m in short_masks(n)]
 
 
 @dataclass
@@ -86,18 +93,18 @@ def block_of(items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS) -> Bl
     data = np.frombuffer(column.cast(pa.large_binary()).buffers()[2] or b"", np.uint8)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(items) + 1]
     hashes, first = tokens(data, offsets)
-    masks = masks_for(np.diff(first), masks)
+    chosen = masks_for(np.diff(first), masks)
     keys, places, filters = [], [], []
-    for mask in masks:
+    for mask, length in chosen:
         own = seeds(hashes, mask)
-        at = np.concatenate([np.arange(a, max(a, b - len(mask) + 1)) for a, b in zip(first[:-1], first[1:], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        at = np.concatenate([np.arange(a, max(a, b - len(mask) + 1)) for a, b in zip(first[:-1], first[1:], strict=True) if length in (0, b - a)] or [np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(own[at], kind="stable")
         keys.append(own[at][order])
         places.append(at[order])
         table = np.zeros(1 << FILTER_BITS, bool)
         table[(keys[-1] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         filters.append(table)
-    return Block(np.array([i if i is not None else -1 for i, _ in items], np.int64), hashes, first, masks, keys, places, filters)
+    return Block(np.array([i if i is not None else -1 for i, _ in items], np.int64), hashes, first, tuple(m for m, _ in chosen), keys, places, filters)
 
 
 def longest_agreement(same: np.ndarray, least: float = MIN_AGREEMENT) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -36,6 +37,27 @@ def test_leaks(spark):
     assert decontaminate.judge_leaks(spark.createDataFrame([], DOCS), bench).collect() == []
 
 
+def test_masks_hit_every_overlap():
+    """All patterns with a fifth of the tokens changed: stretches of 13 to 25 tokens, and short items as a whole."""
+    for n in range(1, 26):
+        masks = decontaminate.MASKS if n >= decontaminate.MIN_OVERLAP else decontaminate.short_masks(n)
+        patterns = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(n), n // 5)])
+        ones = [int(m[::-1], 2) << at for m in masks for at in range(n - len(m) + 1)]
+        assert np.logical_or.reduce([(patterns & b) == 0 for b in ones]).all(), n
+
+
+def test_short_items(spark):
+    items = [[f"i{n}x{k}" for k in range(n)] for n in range(1, 14)]
+    bench = spark.createDataFrame([(len(x), " ".join(x)) for x in items], "item_id long, text string")
+    rows = []
+    for x in items:
+        for c in itertools.combinations(range(len(x)), len(x) // 5):
+            rows.append((len(x), " ".join(["before", *["other" if k in c else w for k, w in enumerate(x)], "after"])))
+        rows.append((-1, " ".join(["other" if k <= len(x) // 5 else w for k, w in enumerate(x)])))
+    got = decontaminate.judge_leaks(spark.createDataFrame(rows, DOCS), bench).collect()
+    assert len(got) == len(rows) and all(list(x["items"]) == ([x["doc_id"]] if x["doc_id"] > 0 else []) for x in got)
+
+
 def test_passages(spark):
     r = random.Random(2)
     passage = words(r, 80)
