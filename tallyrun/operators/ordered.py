@@ -101,13 +101,12 @@ def durable_fold(events: DataFrame, key: str, ordinal: str, outcome: str, accept
 
     The first sets it; later an accepted one overrides, an unresolved one replaces only an unresolved one, and anything else is ignored.
     """
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(outcome).alias("v"), F.col(accepted).alias("a")))).alias("e"))
-    first = F.get("e", F.lit(0))
-    folded = F.aggregate(
-        F.slice("e", 2, F.greatest(F.size("e"), F.lit(1))), F.struct(first["v"].alias("v"), first["o"].alias("o")),
-        lambda acc, x: F.when(F.coalesce(x["a"], F.lit(False)) | ((acc["v"] == "unresolved") & (x["v"] == "unresolved")), F.struct(x["v"].alias("v"), x["o"].alias("o"))).otherwise(acc),
-    )
-    return rows.select(key, folded["v"].alias("outcome"), folded["o"].alias("ordinal"), (F.size("e") - 1).alias("later"))
+    row = F.struct(F.col(ordinal).alias("o"), F.col(outcome).alias("v"), F.col(accepted).alias("a"))
+    # the last accepted one or the first; after it only unresolved ones count, and only if it is unresolved itself
+    found = events.groupBy(key).agg(F.min(row).alias("_f"), F.max(F.when(F.col(accepted), row)).alias("_a"), F.max(F.when(F.col(outcome) == "unresolved", row)).alias("_u"), F.count("*").alias("_n"))
+    found = found.withColumn("_b", F.coalesce("_a", "_f"))
+    last = F.when(F.col("_b.v") == "unresolved", F.greatest("_b", "_u")).otherwise(F.col("_b"))
+    return found.select(key, last["v"].alias("outcome"), last["o"].alias("ordinal"), (F.col("_n") - 1).cast("int").alias("later"))
 
 
 def backoff(attempt: Column, uniform: Column, base: float = 0.25, factor: float = 2.0, most: float = 8.0, ratio: float = 0.25) -> Column:

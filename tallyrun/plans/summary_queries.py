@@ -52,14 +52,14 @@ def agg07_failure_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg08_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", (F.length("text") > 100).alias("long"))).alias("turns"))
-    return S.exploded_counts(nested, "turns", "role", "long")
+    turns = table(spark, d, "conversations").select("role", (F.length("text") > 100).alias("long"))
+    return turns.groupBy("role", "long").agg(F.count("*").alias("n"))
 
 
 def agg09_first_evidence(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("k"))
-    nested = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "kind", "k"))).alias("evidence"))
-    return S.first_evidence_counts(nested, "evidence", "purchase", "k")
+    purchases = table(spark, d, "events").filter("event_type = 'purchase'").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    first = purchases.groupBy("user_id").agg(F.min(F.struct("event_id", "k")).alias("e")).select("e.k")
+    return first.filter(S.present("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 def agg11_stage_matrix(spark: SparkSession, d: str) -> DataFrame:
