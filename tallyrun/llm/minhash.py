@@ -1,17 +1,22 @@
 """Near-duplicate detection by circulant MinHash, banding and exact Jaccard verification.
 
-Two permutations make all signature coordinates: sigma scatters the shingles over a circle of 2^21 places, and pi, one table
-of ranks, is read at the place shifted by k for coordinate k; the K ranks of a shingle are therefore one contiguous run.
+Two permutations make all signature coordinates: sigma, a permutation of the 64-bit shingles, of which the leading bits scatter them
+over a circle of 2^21 places, and pi, one table of ranks, is read at the place shifted by k for coordinate k; the K ranks of a shingle are therefore one contiguous run.
 Equal shingle sets are one class, found by a 128-bit hash of the set, and only classes are banded, so copies never
 make pairs.  With 40 bands of 5 coordinates a link of similarity 0.8 is missed with a chance of 1.3e-7.
 
-Links are confirmed on full sets, in three steps that never pair a bucket's members with each other:
+Links are confirmed on full sets, by comparisons with hubs only, so a bucket's members are never paired with each other:
 1. every class is compared with the smallest class that it shares a bucket with (its pivot);
 2. every class is compared with the class that lies closest to its pivot, which is a lightly changed copy;
-3. in buckets whose members are still in different components, every member is compared with the closest class that most of
-   them have, and of the pairs that remain only those are compared that the sizes, and maps of what each lacks of and adds to
-   this class, leave possible: first the pair of each two components that agrees most, then whatever is still apart.
-Components are then joined by star contraction.
+3. in buckets that still hold several components, all members are compared with one hub h.  If x and y lie in different
+   components, one of them, say y, is not linked to h.  A link of x and y then needs one of two things.  They share enough of what
+   either adds to h, at least t (|x| + |y|) - min(common(x, h), common(y, h)) shingles with t = s / (1 + s).  Or they share no such
+   shingle, which leaves common(x, y) <= common(y, h) < t (|y| + |h|), so |x| < |h|; then they lack the same of h, at least
+   half of what |x - y| + |y - x| would exceed a link's by.  In either case they have one of the first shingles in common, in an order
+   by rising frequency, of which so many are looked at as the shared number leaves (the prefix filter).  These shingles, each with
+   the hub, are the buckets of the next round, where up to ``HUBS`` members leave as hubs; rounds go on until no bucket is open.
+   Lightly changed copies add mostly shingles of their own, and these make no bucket.
+Components are joined by star contraction.  Comparisons with one hub are dealt to ``SALTS`` tasks.
 
 A null text is empty.  Texts without words have no set and link with nothing; texts of fewer than n words have their whole
 sequence as one shingle.  Very long texts are read whole.  Repeated rows are one class, each row gets an answer.  component_id is the
@@ -26,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -38,6 +43,9 @@ SIMILARITY = 80
 """In hundredths."""
 BANDS, ROWS = 40, 5
 CIRCLE_BITS = 21
+HUBS = 8
+SALTS = 64
+"""Tasks that the comparisons with one hub are dealt to."""
 _SEED = 41
 
 
@@ -71,8 +79,12 @@ def class_of(shingles: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
+def _text_hashes(text: str) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, class (null without words) and band keys of every row."""
+    """doc_id, n_shingles, class (null without words), band keys and two hashes of the text of every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -85,11 +97,12 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                     marks = np.stack([signature(values[bounds[k] : bounds[k + 1]]) for k in full])
                     for k, own in zip(full, band_keys(marks), strict=True):
                         classes[k], keys[k] = class_of(values[bounds[k] : bounds[k + 1]]), own
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(i, j - i), pa.array(sizes), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "keys"]
-                )
+                same = [part.column(k).slice(i, j - i) for k in (0, 2, 3)]
+                found = [pa.array(sizes), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, *found], ["doc_id", "t1", "t2", "n_shingles", "class", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n_shingles long, class binary, keys array<long>")
+    hashed = docs.select(F.col("doc_id").cast("long"), "text", *_text_hashes("text"))
+    return hashed.mapInArrow(describe, "doc_id long, t1 long, t2 long, n_shingles long, class binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -109,84 +122,77 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return chosen.mapInArrow(collect, "node long, shingles binary").dropDuplicates(["node"])
 
 
-MAP_LONGS = 8
-_LACKS, _ADDS = ([f"{kind}{k}" for k in range(MAP_LONGS)] for kind in ("lacks", "adds"))
-_COMPARED = "a long, b long, na long, nb long, common long, " + ", ".join(f"{c} long" for c in (*_LACKS, *_ADDS))
-
-
-def _map_bits(values: np.ndarray) -> list[int]:
-    """A map of 64 * MAP_LONGS bits of the values' leading bits, as signed longs."""
-    bits = np.zeros(64 * MAP_LONGS, np.uint8)
-    bits[(values >> np.uint64(64 - (64 * MAP_LONGS - 1).bit_length())).astype(np.int64)] = 1
-    return np.packbits(bits).view(">i8").tolist()
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sizes and common shingles of each pair (a, b), and maps of what b lacks of a and adds to it."""
+def prefixes(hub: np.ndarray, own: np.ndarray, low: int, similarity: int) -> tuple[int, np.ndarray, int, np.ndarray, int]:
+    """(common, adds, take, lacks, take): what a set adds to a hub and lacks of it, and how many of these, the rarest first, have one
+    that any set of at least ``low`` shingles shares which may link with it but not through the hub.  ``take`` may be 0."""
+    at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+    known = hub[at] == own
+    missing = np.ones(len(hub), bool)
+    missing[at[known]] = False
+    s, whole = similarity, 100 + similarity
+    common, adds, lacks, n, m = int(known.sum()), own[~known], hub[missing], len(own), len(hub)
+    need = max(1, -(-s * (n + max(low, -(-s * n // 100))) // whole) - common)
+    most = common * whole // s - n
+    """The size of a set that links without shared additions."""
+    take = 0
+    if most >= low:
+        apart, linked = len(adds) + len(lacks), 100 * common >= s * (n + m - common)
+        if n < m:
+            take = len(lacks) - max(1, -(-(whole * apart + (100 - s) * (m - n)) // (2 * whole))) + 1
+        if not linked:
+            take = max(take, len(lacks) - max(1, -(-(whole * apart - (100 - s) * (n + m) + 200 * max(1, m - most)) // (2 * whole))) + 1)
+    return common, adds, max(0, len(adds) - need + 1), lacks if take > 0 else lacks[:0], max(0, take)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: int, leading: bool = False) -> DataFrame:
+    """Sizes and common shingles of each pair of a hub a and a class b; if asked for, also ``prefixes`` for sets of ``low`` shingles and more."""
+    names = ["a", "b", "na", "nb", "common"] + ["add", "adds", "lack", "lacks"] * leading
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 5 + [pa.int64(), pa.list_(pa.int64())] * 2
         for part in batches:
             rows = []
-            for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("x"), part.column("y"), strict=True):
+            for a, b, low, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "low")), part.column("x"), part.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = y[at] == x
-                other = np.ones(len(y), bool)
-                other[at[both]] = False
-                rows.append((a, b, len(x), len(y), int(both.sum()), *_map_bits(x[~both]), *_map_bits(y[other])))
+                common, adds, add, lacks, lack = prefixes(x, y, low, similarity)
+                rows.append((a, b, len(x), len(y), common, add, adds.view(np.int64), lack, lacks.view(np.int64))[: len(names)])
             if rows:
-                names = [c.split()[0] for c in _COMPARED.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[: len(names)], strict=True)], names)
 
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    low = F.col("low") if leading else F.lit(0).alias("low")
+    salted = pairs.select("a", "b", low, F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    x = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, _COMPARED)
+    schema = ", ".join(f"{c} {'array<long>' if c in ('adds', 'lacks') else 'long'}" for c in names)
+    return salted.join(x, ["a", "salt"]).join(y, "b").select("a", "b", "low", "x", "y").mapInArrow(compare, schema)
 
 
 def _links(compared: DataFrame, similarity: int) -> DataFrame:
     return compared.filter(100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _missing(p: str, q: str) -> Column:
-    """How many bits at least of what row p shares with the hub or adds to it are not in row q."""
-    out = F.lit(0)
-    for lacks, adds in zip(_LACKS, _ADDS, strict=True):
-        out = out + F.bit_count(F.col(f"{q}.{lacks}").bitwiseAND(F.bitwise_not(F.col(f"{p}.{lacks}"))))
-        out = out + F.bit_count(F.col(f"{p}.{adds}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{adds}"))))
-    return out
-
-
-def _can_link(similarity: int) -> Column:
-    """Of rows x and y of a bucket: what sizes and maps leave possible.
-
-    A link needs common >= s / (100 + s) * (nx + ny).  Both were compared with the same hub; whatever y lacks of the
-    hub and x does not, and whatever x adds and y does not, is missing from the common part of x; and the other way round.
-    """
-    least = (F.col("x.n") + F.col("y.n")) * similarity / (100.0 + similarity) - 1e-9
-    return (F.least("x.n", "y.n") >= least) & (F.col("x.n") - _missing("x", "y") >= least) & (F.col("y.n") - _missing("y", "x") >= least)
-
-
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with their root."""
+    """The members of buckets ``key`` that hold more than one component."""
     state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keys = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
-    return state.join(keys, "key")
+    return state.join(keys, "key").select(members.columns)
 
 
-def _candidates(state: DataFrame, about: DataFrame, similarity: int, one_a_root: bool) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in different components and may link; of each two components all, or
-    only the pair that agrees most."""
-    rows = state.join(about, ["node", "hub"])
-    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _can_link(similarity))
-    pair = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("r"), F.col("y.root").alias("s"), (_missing("x", "y") + _missing("y", "x")).alias("apart"))
-    if not one_a_root:
-        return pair.select("a", "b").distinct()
-    best = pair.groupBy(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).agg(F.min(F.struct("apart", "a", "b")).alias("m"))
-    return best.select("m.a", "m.b").distinct()
+def _next_buckets(met: DataFrame, still: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n, d) of the rarest shingles that the nodes of ``still`` (hub, node, n) add to the hub or lack of it."""
+    own = met.withColumnsRenamed({"a": "hub", "b": "node"}).join(still, ["hub", "node"]).withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("common"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(take).alias("take"), F.col(all_).alias("all")) for k, (take, all_) in enumerate((("add", "adds"), ("lack", "lacks")))]))
+    one = own.select("hub", "node", "n", "d", kinds.alias("x")).select("hub", "node", "n", "d", "x.kind", "x.take", F.explode("x.all").alias("shingle"))
+    one = one.withColumn("key", F.xxhash64("hub", "shingle"))
+    counts = one.groupBy("key").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("hub", "node", "kind").orderBy("often", "key")
+    first = one.join(counts, "key").withColumn("place", F.row_number().over(order)).filter("place <= take and often > 1")
+    return _open(first.select("key", "node", "n", "d"), roots)
 
 
 def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows has doc_id, n_shingles and class; classes has class, n_docs, rep (smallest doc_id of the class) and component_id."""
+    """(rows, classes): rows has doc_id, n_shingles, class and two hashes of the text; classes has class, n_docs, n_classes of its
+    component, rep (smallest doc_id of the class), root (of the component) and component_id."""
     scratch = Scratch(docs.sparkSession)
     described = scratch(_described(docs, n), "described")
     classes = described.filter(F.col("class").isNotNull()).groupBy("class").agg(
@@ -195,7 +201,7 @@ def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     keyed = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = scratch(described.drop("keys"), "rows")
     scratch.drop(described)
-    banded = keyed.select(F.explode("keys").alias("key"), "node")
+    banded = keyed.select(F.explode("keys").alias("key"), "node", "n")
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     members = scratch(banded.join(shared, "key"), "members")
     classes = scratch(keyed.drop("keys"), "classes")
@@ -203,42 +209,45 @@ def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     first = members.groupBy("node").agg(F.min("low").alias("pivot"))
     sets = scratch(_sets(docs, first.select("node").join(classes.select("node", "class", "rep"), "node"), n), "sets")
 
-    one = scratch(_compared(first.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets), "compared")
+    one = scratch(_compared(first.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, similarity), "compared")
     distance = F.col("na") + F.col("nb") - 2 * F.col("common")
     closest = one.groupBy("a").agg(F.min(F.struct(distance.alias("d"), F.col("b").alias("node"))).alias("c")).select("a", F.col("c.node").alias("hub"))
-    hubs = one.select("a", "b").union(one.select("a", F.col("a").alias("b")).distinct()).join(closest, "a")
-    two = scratch(_compared(hubs.select(F.col("hub").alias("a"), "b"), sets), "compared")
+    hubs = one.join(closest, "a").filter("hub != b").select(F.col("hub").alias("a"), "b")
+    two = scratch(_compared(hubs, sets, similarity), "compared")
     links = scratch(_links(one, similarity).union(_links(two, similarity)), "links")
     roots = scratch(components(links, scratch), "roots")
-
-    own = two.select(F.col("b").alias("node"), F.col("a").alias("own")).dropDuplicates(["node"])
-    state = _open(members, roots).join(own, "node", "left")
-    usual = state.filter("own is not null").groupBy("key", "own").agg(F.count("*").alias("n"))
-    usual = usual.groupBy("key").agg(F.max(F.struct("n", "own")).alias("m")).select("key", F.col("m.own").alias("hub"))
-    state = scratch(state.join(usual, "key").select("key", "node", "hub"), "open")
-    done = two.select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    third = state.select("hub", "node").distinct().join(done, ["hub", "node"], "left_anti")
-    three = scratch(_compared(third.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "compared")
-    links = scratch(links.union(_links(three, similarity)), "links")
-    roots = scratch(components(links, scratch), "roots")
-
-    about = two.union(three).select(F.col("b").alias("node"), F.col("a").alias("hub"), *_LACKS, *_ADDS).dropDuplicates(["node", "hub"])
-    about = scratch(about.join(classes.select("node", "n"), "node"), "about")
-    state = scratch(_open(state, roots).select("key", "node", "hub", "root"), "open")
-    tried = None
-    for last in (False, True):
-        pairs = _candidates(state, about, similarity, one_a_root=not last)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = scratch(pairs.select("a", "b"), "pairs")
-        more = scratch(_links(_compared(tried, sets), similarity), "links")
-        if not more.isEmpty():
-            links = scratch(links.union(more), "links")
+    state = _open(members.select("key", "node", "n"), roots)
+    own = two.select(F.col("b").alias("node"), F.col("a").alias("own")).union(two.select("a", "a")).dropDuplicates(["node"])
+    usual = state.join(own, "node").groupBy("key", "own").agg(F.count("*").alias("often"))
+    lead = usual.groupBy("key").agg(F.max(F.struct("often", "own")).alias("m")).select("key", F.col("m.own").alias("hub"))
+    lead = state.groupBy("key").agg(F.min("node").alias("least")).join(lead, "key", "left").select("key", F.coalesce("hub", "least").alias("hub"))
+    state, more = scratch(state.join(lead, "key"), "open"), None
+    scratch.drop(members, one, two)
+    while not state.isEmpty():
+        rest = state.filter("node != hub") if more is None else state.filter("node != hub").join(more, ["key", "node"], "left_anti")
+        lows = rest.groupBy("key").agg(F.min("n").alias("low"))
+        to_lead = state.filter("node != hub").join(lows, "key").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("low").alias("low"))
+        met = scratch(_compared(to_lead, sets, similarity, leading=True), "compared")
+        new = _links(met, similarity)
+        if more is not None:
+            pairs = state.join(more.select("key", F.col("node").alias("other")), "key").filter("node != other and other != hub")
+            new = new.union(_links(_compared(pairs.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity), similarity))
+        new = scratch(new, "links")
+        if not new.isEmpty():
+            old, old_roots = links, roots
+            links = scratch(links.union(new), "links")
             roots = scratch(components(links, scratch), "roots")
-            state = scratch(_open(state.drop("root"), roots).select("key", "node", "hub", "root"), "open")
+            scratch.drop(old, old_roots)
+        still = _open(rest, roots).select("hub", "node", "n").distinct()
+        then = scratch(_next_buckets(met, still, roots), "buckets")
+        hubs = then.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("d", "node")).alias("m"))
+        lead = hubs.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("hub"))
+        scratch.drop(state, met, new, *([more] if more is not None else []))
+        state, more = scratch(then.join(lead, "key").select("key", "node", "n", "hub"), "open"), scratch(hubs.select("key", F.col("m.node").alias("node")), "hubs")
+        scratch.drop(then)
     known = classes.select("class", "node", "rep", "n_docs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes"))
-    found = scratch(known.join(least, "root").select("class", "rep", "n_docs", "n_classes", "component_id"), "found")
+    found = scratch(known.join(least, "root").select("class", "rep", "n_docs", "n_classes", "root", "component_id"), "found")
     scratch.clear(rows, found)
     return rows, found
 
@@ -253,10 +262,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that their component keeps, repeated rows once; columns stay as they are."""
-    kept = near_duplicates(docs, n, similarity).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of ``docs`` that stay: one of each component, of the smallest doc_id (nulls last) and then text hash, and all texts without
+    words; repeated rows once.  An id that comes with several texts is decided for each of them.  Columns stay as they are."""
+    described, classes = link_classes(docs, n, similarity)
+    grouped = classes.filter("n_docs > 1 or n_classes > 1").select(F.col("class").alias("_class"), "root")
+    found = described.join(grouped, F.col("class") == F.col("_class"), "left")
+    mark = ["doc_id", "t1", "t2"]
+    alone = found.filter(F.col("root").isNull()).select(*mark)
+    best = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), *mark)).alias("m"))
+    kept = alone.union(best.select(*[f"m.{c}" for c in mark])).distinct()
     names = docs.columns
-    at = names.index("doc_id")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    out = plain.join(kept, F.col(f"c{at}").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([f"c{at}", f"c{names.index('text')}"])
-    return out.toDF(*names)
+    at, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    own = (F.col(at).cast("long"), *_text_hashes(text))
+    same = own[0].eqNullSafe(F.col("doc_id")) & (own[1] == F.col("t1")) & (own[2] == F.col("t2"))
+    return plain.join(kept, same, "left_semi").dropDuplicates([at, text]).toDF(*names)

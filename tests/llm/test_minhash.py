@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tallyrun.llm.components import components
-from tallyrun.llm.minhash import BANDS, ROWS, band_keys, drop_near_duplicates, near_duplicates, signature
+from tallyrun.llm.minhash import BANDS, ROWS, band_keys, drop_near_duplicates, near_duplicates, prefixes, signature
 from tallyrun.llm.textvec import constants
 
 SCHEMA = "doc_id long, text string"
@@ -49,7 +49,8 @@ def corpus(seed):
     for d in range(100, 220):
         own = list(base)
         for _ in range(r.randint(0, 5)):
-            own[r.randrange(len(own))] = "new%d" % r.randrange(10**6)
+            at = r.randrange(len(own))
+            own[at : at + r.randint(0, 2)] = ["new%d" % r.randrange(10**6)] * r.randint(0, 2)
         rows.append((d, "  ".join(own)))
     rows += [(300, rows[50][1].upper()), (301, rows[3][1]), (301, rows[3][1]), (302, None), (303, ""), (304, " \n"), (305, "one two"), (306, "ONE\ttwo"), (None, rows[60][1]), (None, None)]
     r.shuffle(rows)
@@ -75,6 +76,30 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l"), (5, "A b c d e F"), (5, "m n o p q r"), (None, "m n o p q r")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "a b c d e f"), (2, "g h i j k l"), (5, "m n o p q r")]
+
+
+def test_prefixes_lose_no_pair():
+    """Two sets that link, but not both with the hub, share one of the shingles that the prefixes hold, in any common order."""
+    r = np.random.default_rng(5)
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    met = plain = 0
+    for _ in range(6000):
+        hub = np.sort(r.choice(10**6, r.integers(10, 60), replace=False)).astype(np.uint64)
+        grown = np.union1d(hub[r.random(len(hub)) > r.random() / 3], 10**6 + r.integers(0, 60, r.integers(0, 20) * r.integers(0, 2)).astype(np.uint64))
+        a, b = (np.union1d(grown[r.random(len(grown)) > r.random() / 9], 2 * 10**6 + r.integers(0, 999, r.integers(0, 4)).astype(np.uint64)) for _ in range(2))
+        if len(a) and len(b) and linked(a, b) and not (linked(hub, a) and linked(hub, b)):
+            met += 1
+            mine, other = (prefixes(hub, x, min(len(a), len(b)), 80) for x in (a, b))
+            shared = [np.intersect1d(mine[k][: mine[k + 1]], other[k][: other[k + 1]]) for k in (1, 3)]
+            plain += not len(np.intersect1d(mine[1], other[1]))
+            assert len(shared[0]) or len(shared[1])
+    assert met > 500 and plain > 20
+
+
 def test_signatures_estimate_similarity():
     a, b = constants(1000, 1), np.concatenate([constants(1000, 1)[:800], constants(200, 2)])
     agree = (signature(a) == signature(b)).mean()
