@@ -172,10 +172,22 @@ def _links(compared: DataFrame, similarity: int) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets ``key`` that hold more than one component."""
-    state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """The members of buckets ``key`` that hold more than one component, with their ``root``."""
+    state = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keys = state.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("key")
-    return state.join(keys, "key").select(members.columns)
+    return state.join(keys, "key")
+
+
+def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The roots after these links; only components that the links join are worked on, and where there are none nothing is."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    across = links.join(end("u"), "u", "left").join(end("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).filter("u != v")
+    across = scratch(across.distinct(), "across")
+    if across.isEmpty():
+        return roots
+    moved = components(across, scratch).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    after = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return scratch(after.union(moved.select("old", "new")).distinct(), "roots")
 
 
 def _next_buckets(met: DataFrame, still: DataFrame, roots: DataFrame) -> DataFrame:
@@ -216,35 +228,34 @@ def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     two = scratch(_compared(hubs, sets, similarity), "compared")
     links = scratch(_links(one, similarity).union(_links(two, similarity)), "links")
     roots = scratch(components(links, scratch), "roots")
-    state = _open(members.select("key", "node", "n"), roots)
+    state = scratch(_open(members.select("key", "node", "n"), roots), "open")
     own = two.select(F.col("b").alias("node"), F.col("a").alias("own")).union(two.select("a", "a")).dropDuplicates(["node"])
     usual = state.join(own, "node").groupBy("key", "own").agg(F.count("*").alias("often"))
     lead = usual.groupBy("key").agg(F.max(F.struct("often", "own")).alias("m")).select("key", F.col("m.own").alias("hub"))
     lead = state.groupBy("key").agg(F.min("node").alias("least")).join(lead, "key", "left").select("key", F.coalesce("hub", "least").alias("hub"))
     state, more = scratch(state.join(lead, "key"), "open"), None
-    scratch.drop(members, one, two)
+    scratch.clear(rows, classes, sets, roots, state)
     while not state.isEmpty():
-        rest = state.filter("node != hub") if more is None else state.filter("node != hub").join(more, ["key", "node"], "left_anti")
+        rest = state.filter("node != hub")
+        if more is not None:
+            rest = rest.join(more.select("key", F.col("other").alias("node")), ["key", "node"], "left_anti")
         lows = rest.groupBy("key").agg(F.min("n").alias("low"))
         to_lead = state.filter("node != hub").join(lows, "key").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("low").alias("low"))
         met = scratch(_compared(to_lead, sets, similarity, leading=True), "compared")
         new = _links(met, similarity)
         if more is not None:
-            pairs = state.join(more.select("key", F.col("node").alias("other")), "key").filter("node != other and other != hub")
-            new = new.union(_links(_compared(pairs.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity), similarity))
-        new = scratch(new, "links")
-        if not new.isEmpty():
-            old, old_roots = links, roots
-            links = scratch(links.union(new), "links")
-            roots = scratch(components(links, scratch), "roots")
-            scratch.drop(old, old_roots)
+            apart = (F.col("root") != F.col("other_root")) & (100 * F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
+            pairs = state.join(more, "key").filter(apart).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+            new = new.union(_links(_compared(scratch(pairs, "pairs"), sets, similarity), similarity))
+        roots = _joined(roots, scratch(new, "links"), scratch)
         still = _open(rest, roots).select("hub", "node", "n").distinct()
         then = scratch(_next_buckets(met, still, roots), "buckets")
-        hubs = then.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("d", "node")).alias("m"))
+        hubs = then.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("d", "node", "n", "root")).alias("m"))
         lead = hubs.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("hub"))
-        scratch.drop(state, met, new, *([more] if more is not None else []))
-        state, more = scratch(then.join(lead, "key").select("key", "node", "n", "hub"), "open"), scratch(hubs.select("key", F.col("m.node").alias("node")), "hubs")
-        scratch.drop(then)
+        now = scratch(then.join(lead, "key").select("key", "node", "n", "root", "hub"), "open")
+        more = scratch(hubs.select("key", F.col("m.node").alias("other"), F.col("m.n").alias("other_n"), F.col("m.root").alias("other_root")), "hubs")
+        state = now
+        scratch.clear(rows, classes, sets, roots, state, more)
     known = classes.select("class", "node", "rep", "n_docs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes"))
     found = scratch(known.join(least, "root").select("class", "rep", "n_docs", "n_classes", "root", "component_id"), "found")
