@@ -12,7 +12,8 @@ repeated window; runs of the others are strings over an alphabet of phrases (anc
 4. Compare adjacent prefixes in these lists.  Equal phrases are equal bytes, so this settles all windows inside a repeated run.
 
 Windows that begin or end between phrases of a run are settled exactly afterwards, by a 128-bit hash of their bytes, counted
-over all texts; of texts that agree in a run one takes part for all.  Blocks of such windows whose shared bytes occur once go first.
+over all texts; of texts that agree in a run one takes part for all.  Blocks of such windows whose shared bytes occur once go first,
+then those whose bytes, taken together, occur again: they are repeated whole, and one of them takes part for all.
 
 Equal texts are one class from the start: a text of ``length`` bytes or more that has a copy is removed whole.
 All sorts are by range with ties broken by position, counts are partial before the shuffle, and a task holds one text at a time.
@@ -207,6 +208,19 @@ def _sample_names(strings: DataFrame, levels: int, scratch: Scratch) -> DataFram
     return ranks
 
 
+def shared_prefixes(lists: pa.ListArray) -> np.ndarray:
+    """For each list but the last, how many leading elements it shares with the next."""
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    size = np.diff(offsets)
+    out, at = np.zeros(max(0, len(size) - 1), np.int64), np.flatnonzero(np.minimum(size[:-1], size[1:]))
+    while len(at):
+        m = out[at]
+        at = at[values[offsets[at] + m] == values[offsets[at + 1] + m]]
+        out[at] += 1
+        at = at[np.minimum(size[at], size[at + 1]) > out[at]]
+    return out
+
+
 _ADJACENT = "row long, j long, m long, part long, last boolean, pre array<long>"
 
 
@@ -214,32 +228,31 @@ def _adjacent(suffixes: DataFrame, keys: list[str], scratch: Scratch) -> DataFra
     """(row, j, m): the leading phrases of ``pre`` that a suffix shares with a neighbour in the order of ``keys``."""
     ordered = suffixes.repartitionByRange(*keys, "row", "j").sortWithinPartitions(*keys, "row", "j")
 
-    def shared(a: list[int], b: list[int]) -> int:
-        m = 0
-        for x, y in zip(a, b, strict=False):
-            if x != y:
-                break
-            m += 1
-        return m
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, before = TaskContext.get().partitionId(), None
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
         names = [x.split()[0] for x in _ADJACENT.split(", ")]
+        edge = lambda at, last: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((at[0], at[1], 0, number, last, at[2]), types, strict=True)], names)
         for batch in batches:
-            rows = []
-            for row, j, pre in zip(batch.column("row").to_pylist(), batch.column("j").to_pylist(), batch.column("pre").to_pylist(), strict=True):
-                if before is None:
-                    rows.append((row, j, 0, number, False, pre))
-                elif m := shared(before[2], pre):
-                    rows += [(row, j, m, None, None, None), (before[0], before[1], m, None, None, None)]
-                before = (row, j, pre)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            if not batch.num_rows:
+                continue
+            row, j, pre = batch.column("row"), batch.column("j"), batch.column("pre")
+            if before is None:
+                yield edge((row[0].as_py(), j[0].as_py(), pre[0].as_py()), False)
+            else:
+                row, j = (pa.concat_arrays([pa.array([v], pa.int64()), own]) for v, own in zip(before, (row, j), strict=False))
+                pre = pa.concat_arrays([pa.array([before[2]], pre.type), pre])
+            m = shared_prefixes(pre)
+            at = np.flatnonzero(m)
+            both = pa.array(np.concatenate([at, at + 1]))
+            if len(at):
+                columns = [row.take(both), j.take(both), pa.array(np.concatenate([m[at], m[at]])), *[pa.nulls(2 * len(at), t) for t in types[3:]]]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            before = (row[-1].as_py(), j[-1].as_py(), pre[-1].as_py())
         if before is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((before[0], before[1], 0, number, True, before[2]), types, strict=True)], names)
+            yield edge(before, True)
 
     found = scratch(ordered.select("row", "j", "pre").mapInArrow(compare, _ADJACENT), "adjacent")
     # two rows a partition: its first and last suffix, compared across the border
@@ -327,18 +340,25 @@ def _blocks(length: int, gram: int) -> int:
 
 
 def _cores(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """row, code and the core's hash of every block of windows that take part."""
+    """row, code, the core's hash, and where the text holds it all, bounds and 128-bit hash of the union of every block of windows that take part."""
+    names = ["row", "code", "core", "a", "b", "u1", "u2"]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for row, text, anchors in zip(part.column("row").to_pylist(), part.column("text"), part.column("anchors"), strict=True):
-                _, rolling, _, _, code, cores = _taking(text, anchors.as_py(), length, gram)
+                data, rolling, _, _, code, cores = _taking(text, anchors.as_py(), length, gram)
                 code, first = np.unique(code, return_index=True)
-                if len(code):
-                    core = rolling.of(cores[first], cores[first] + length - BLOCK + 1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row)), pa.array(code), pa.array(core)], ["row", "code", "core"])
+                if not len(code):
+                    continue
+                begin = cores[first]
+                core = rolling.of(begin, begin + length - BLOCK + 1).view(np.int64)
+                a, b = begin - BLOCK + 1, begin + length
+                inside = (a >= 0) & (b <= len(data))
+                a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+                union = [pa.array(r.of(a, b).view(np.int64), mask=~inside) for r in (rolling, Rolling(data, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row)), *map(pa.array, (code, core, a, b)), *union], names)
 
-    return texts.select("row", "text", "anchors").mapInArrow(hashes, "row long, code long, core long")
+    return texts.select("row", "text", "anchors").mapInArrow(hashes, ", ".join(f"{c} long" for c in names))
 
 
 _WINDOWS = "row long, i long, h1 long, h2 long, settled boolean"
@@ -405,13 +425,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, leve
     bare = texts.select("row", "text")
     cores = scratch(_cores(bare.join(info, "row"), length, gram), "cores")
     shared = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    codes = cores.join(shared, "core").groupBy("row").agg(F.collect_list("code").alias("codes"))
+    blocks = scratch(cores.join(shared, "core").drop("core"), "blocks")
+    scratch.drop(cores)
+    # a block whose union starts elsewhere too is repeated whole; the first of them goes on to the count, for others' sake
+    place = F.struct("row", "a")
+    unions = blocks.filter("u1 is not null").groupBy("u1", "u2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("u1", "u2", "first")
+    found = blocks.join(unions, ["u1", "u2"], "left").select("row", "code", "a", "b", F.col("first").isNotNull().alias("whole"), F.coalesce(F.col("first") == place, F.lit(False)).alias("leads"))
+    blocks, before = scratch(found, "blocks"), blocks
+    scratch.drop(before)
+    codes = blocks.filter("not whole or leads").groupBy("row").agg(F.collect_list("code").alias("codes"))
     windows = scratch(_windows(bare.join(info.join(codes, "row"), "row"), length, gram), "windows")
-    scratch.drop(info, cores)
+    scratch.drop(info)
     counted = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     exact = windows.filter("not settled").join(counted, ["h1", "h2"]).select("row", F.col("i").alias("a"), (F.col("i") + length).alias("b"))
     runs = joined.filter(F.col("reach") >= F.col("at") + length).select("row", F.col("at").alias("a"), F.col("reach").alias("b"))
-    intervals = runs.union(exact).groupBy("row").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    whole = blocks.filter("whole").select("row", "a", "b")
+    intervals = runs.union(exact).union(whole).groupBy("row").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:

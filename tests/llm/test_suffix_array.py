@@ -6,7 +6,9 @@ import hashlib
 import random
 from collections import Counter
 
-from tallyrun.llm.suffix_array import drop_repeats, remove_repeats
+import pyarrow as pa
+
+from tallyrun.llm.suffix_array import drop_repeats, remove_repeats, shared_prefixes
 
 SCHEMA = "doc_id long, text string"
 
@@ -62,6 +64,17 @@ def test_long_windows_and_shallow_names(spark):
     check(spark, mixed(2), 60, 20, levels=1)
 
 
+def test_registered_lengths(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    found = remove_repeats(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, found.collect())) == sorted(brute(rows, 200))
+
+
+def test_shared_prefixes():
+    lists = pa.array([[1, 2, 3], [1, 2], [1, 2, 4], [], [5], [5]], pa.list_(pa.int64()))
+    assert shared_prefixes(lists).tolist() == [2, 2, 0, 0, 1] and shared_prefixes(lists[1:3]).tolist() == [2] and shared_prefixes(lists[:1]).tolist() == []
+
+
 def test_empty_table_and_short_texts(spark):
     check(spark, [], 24, 8)
     check(spark, [(1, "ab"), (2, "ab")], 24, 8)
