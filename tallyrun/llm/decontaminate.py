@@ -6,8 +6,9 @@ are joined on (mask, hash); each hit fixes a diagonal between an item and a docu
 diagonal is verified token by token: a document is contaminated when a stretch of at least ``MIN_OVERLAP`` tokens (the
 whole item if that is shorter) agrees in ``MIN_AGREEMENT`` or more of its tokens.
 
-The benchmark's size is measured first.  It goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, every block
-against all documents, so what a task holds is bounded; the join itself is a sorted search in each task.
+The benchmark's size is measured first.  It goes to the tasks in blocks of about ``BLOCK_CHARS`` / 2 characters, every block
+against all documents, so what the driver and a task hold is bounded; the join itself is a sorted search in each task.  With several
+blocks, each one's overlaps are written before the next is read, and joined to the documents by two 64-bit hashes of the text.
 The masks hit every stretch of ``MIN_OVERLAP`` to 25 tokens that agrees enough, whatever tokens differ, and so every longer one, which holds
 such a stretch.  Shorter items are sought as a whole by masks of their own length, down to one token; under five tokens only exactly.
 
@@ -20,13 +21,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from .storage import Scratch
 from .textvec import BYTE, constants, mix, slices, word_hashes, word_starts
 
 # The masks.
@@ -76,7 +79,7 @@ def masks_for(lengths: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[tuple
 class Block:
     """The seeds of some items: sorted hashes with item and position, and the items' tokens."""
 
-    ids: np.ndarray
+    ids: list
     hashes: np.ndarray
     first: np.ndarray
     masks: tuple[str, ...]
@@ -104,7 +107,7 @@ def block_of(items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS) -> Bl
         table = np.zeros(1 << FILTER_BITS, bool)
         table[(keys[-1] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         filters.append(table)
-    return Block(np.array([i if i is not None else -1 for i, _ in items], np.int64), hashes, first, tuple(m for m, _ in chosen), keys, places, filters)
+    return Block([i for i, _ in items], hashes, first, tuple(m for m, _ in chosen), keys, places, filters)
 
 
 def longest_agreement(same: np.ndarray, least: float = MIN_AGREEMENT) -> int:
@@ -145,10 +148,15 @@ def overlaps(block: Block, hashes: np.ndarray, first: np.ndarray) -> list[tuple[
     return [(t, i, n) for (t, i), n in best.items()]
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def _ids(benchmark: DataFrame) -> str:
+    """Item ids are kept as longs where they are whole numbers, else as text."""
+    return "long" if isinstance(benchmark.schema["item_id"].dataType, IntegralType) else "string"
+
+
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | str | None, str]]]:
     """The items in blocks of bounded size, one at a time on the driver."""
     size = F.length("text") + 64
-    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = benchmark.select(F.col("item_id").cast(_ids(benchmark)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n = int(total // (block_chars // 2)) + 1
     for k in range(n):
@@ -156,7 +164,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
         yield [(r[0], r[1]) for r in part.distinct().collect()]
 
 
-def find_overlaps(docs: DataFrame, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS) -> DataFrame:
+def find_overlaps(docs: DataFrame, items: list[tuple], ids: str = "long", masks: tuple[str, ...] = MASKS) -> DataFrame:
     """One row per input row: its columns but text, with n_tokens, items (array of item ids) and overlap_tokens (the longest)."""
     block = block_of(items, masks)
     shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -170,34 +178,46 @@ def find_overlaps(docs: DataFrame, items: list[tuple[int, str]], masks: tuple[st
                 hashes, first = tokens(data, offsets)
                 n_tokens[i:j] = np.diff(first)
                 for text, item, n in overlaps(block, hashes, first):
-                    found[i + text].append(int(block.ids[item]))
+                    found[i + text].append(block.ids[item])
                     longest[i + text] = max(longest[i + text], n)
-            columns = [part.column(c) for c in kept] + [pa.array(n_tokens), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(longest)]
+            columns = [part.column(c) for c in kept] + [pa.array(n_tokens), pa.array([sorted(x, key=lambda v: (v is None, v or type(v)())) for x in found], pa.list_(pa.int64() if ids == "long" else pa.string())), pa.array(longest)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "items", "overlap_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*kept, "text").mapInArrow(search, f"{fields}, n_tokens long, items array<long>, overlap_tokens long")
+    return docs.select(*kept, "text").mapInArrow(search, f"{fields}, n_tokens long, items array<{ids}>, overlap_tokens long")
+
+
+def _by_text(docs: DataFrame, benchmark: DataFrame, block_chars: int, first: list[tuple], rest: Iterator[list[tuple]]) -> DataFrame:
+    """(t1, t2, items, overlap_tokens) of the texts that overlap, by two hashes of the text; each block's are written before the next is read."""
+    scratch, ids = Scratch(docs.sparkSession), _ids(benchmark)
+    hashed = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    found = [scratch(find_overlaps(hashed, part, ids).filter(F.size("items") > 0).drop("n_tokens").dropDuplicates(["t1", "t2"]), "overlaps") for part in chain([first], rest)]
+    return reduce(DataFrame.unionByName, found).groupBy("t1", "t2").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max("overlap_tokens").alias("overlap_tokens"))
 
 
 def judge_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_tokens, contaminated, items and overlap_tokens of every row of (doc_id, text)."""
-    slim = docs.select("doc_id", "text")
-    parts = list(blocks(benchmark, block_chars))
-    if len(parts) == 1:
-        found = find_overlaps(slim, parts[0])
+    """doc_id, n_tokens, contaminated, items (their ids, text unless whole numbers) and overlap_tokens of every row of (doc_id, text)."""
+    slim, parts, ids = docs.select("doc_id", "text"), blocks(benchmark, block_chars), _ids(benchmark)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        found = find_overlaps(slim, first, ids)
     else:
-        keyed = slim.withColumn("_row", F.monotonically_increasing_id())
-        each = reduce(DataFrame.unionByName, [find_overlaps(keyed, p) for p in parts])
-        found = each.groupBy("_row", "doc_id").agg(
-            F.max("n_tokens").alias("n_tokens"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max("overlap_tokens").alias("overlap_tokens")
-        ).drop("_row")
+        hits = _by_text(slim, benchmark, block_chars, first, chain([second], parts))
+        none = find_overlaps(slim.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}), [], ids).drop("items", "overlap_tokens")
+        zero = F.coalesce("overlap_tokens", F.lit(0).cast("long")).alias("overlap_tokens")
+        found = none.join(hits, ["t1", "t2"], "left").select("doc_id", "n_tokens", F.coalesce("items", F.array().cast(f"array<{ids}>")).alias("items"), zero)
     return found.select("doc_id", "n_tokens", (F.size("items") > 0).alias("contaminated"), "items", "overlap_tokens")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` without an overlap; columns stay as they are."""
-    for part in blocks(benchmark, block_chars):
-        renamed = docs.select("*", F.col("text").alias("_text")).toDF(*[f"c{i}" for i in range(len(docs.columns))], "text")
-        found = find_overlaps(renamed, part).filter(F.size("items") == 0).drop("n_tokens", "items", "overlap_tokens")
-        docs = found.toDF(*docs.columns)
-    return docs
+    parts = blocks(benchmark, block_chars)
+    first, second = next(parts), next(parts, None)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, text = docs.toDF(*names), names[docs.columns.index("text")]
+    if second is None:
+        found = find_overlaps(plain.withColumn("text", F.col(text)), first, _ids(benchmark)).filter(F.size("items") == 0)
+    else:
+        hits = _by_text(docs, benchmark, block_chars, first, chain([second], parts)).select("t1", "t2")
+        found = plain.join(hits, (F.xxhash64(text) == F.col("t1")) & (F.xxhash64(F.lit(1), text) == F.col("t2")), "left_anti")
+    return found.select(*names).toDF(*docs.columns)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a new local folder."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset a new local folder, which only one machine's session may use."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallyrun-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -31,12 +31,34 @@ def test_leaks(spark):
         got = [(x["doc_id"], x["contaminated"], list(x["items"])) for x in decontaminate.judge_leaks(docs, bench, block).collect()]
         want = [(0, True, [0]), (0, True, [0]), (1, True, [1]), (2, True, [2]), (3, True, [5]), (4, False, []), (5, False, []), (6, False, []), (7, False, []), (8, True, [4]), (None, False, [])]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-    kept = decontaminate.drop_leaks(docs, bench)
-    assert kept.columns == docs.columns and sorted(x["doc_id"] or -1 for x in kept.collect()) == [-1, 4, 5, 6, 7]
+        kept = decontaminate.drop_leaks(docs, bench, block)
+        assert kept.columns == docs.columns and sorted(x["doc_id"] or -1 for x in kept.collect()) == [-1, 4, 5, 6, 7]
+    named = bench.selectExpr("if(item_id = 2, null, concat('i', item_id)) item_id", "text")
+    got = {x["doc_id"]: list(x["items"]) for x in decontaminate.judge_leaks(docs, named).collect()}
+    assert got[1] == ["i1"] and got[2] == [None] and got[4] == []
     assert not any(x["contaminated"] for x in decontaminate.judge_leaks(docs, spark.createDataFrame([], bench.schema)).collect())
     assert decontaminate.judge_leaks(spark.createDataFrame([], DOCS), bench).collect() == []
 
 
+def test_leaks_equal_brute_force(spark):
+    """Every stretch along every diagonal, on texts that hold items with about a fifth of their tokens changed."""
+    r = random.Random(4)
+    items = [words(r, n, 60) for n in (13, 20, 30, 45)]
+    rows = [words(r, 30, 60) + [w if r.random() < r.choice((0.7, 0.8, 0.85, 0.9)) else "zz" for w in r.choice(items)] + words(r, 30, 60) for _ in range(120)]
+
+    def leaks(text, item):
+        for shift in range(-len(item) + 1, len(text)):
+            same = [text[k + shift] == item[k] for k in range(len(item)) if 0 <= k + shift < len(text)]
+            if any(5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + 13, len(same) + 1)):
+                return True
+        return False
+
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.judge_leaks(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(rows)], DOCS), bench).collect()
+    want = {d: [i for i, item in enumerate(items) if leaks(x, item)] for d, x in enumerate(rows)}
+    assert {x["doc_id"]: list(x["items"]) for x in got} == want and 20 < sum(map(bool, want.values())) < 120
+
+
 def test_masks_hit_every_overlap():
     """All patterns with a fifth of the tokens changed: stretches of 13 to 25 tokens, and short items as a whole."""
     for n in range(1, 26):
