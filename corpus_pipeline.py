@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyrun.llm import decontaminate, minhash, packing, quality_rules, suffix_array
-from tallyrun.llm.storage import written
+from tallyrun.llm.storage import Scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the stretches of 200 bytes and more that start anywhere else too."""
+    """All documents, without the stretches of 200 bytes and more that start anywhere else too, their first occurrence included."""
     return suffix_array.drop_repeats(docs)
 
 
@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = written(docs, f"stage{k}") if k < len(STAGES) - 1 else docs
+        if k < len(STAGES) - 1:
+            docs = scratch(docs, f"stage{k}")
+            scratch.clear(docs)
     return docs
