@@ -92,7 +92,7 @@ def location_options(location: Column) -> Column:
 def state_code(location: Column) -> Column:
     """The United States' state named in the text: a code after a comma or at the end, else a name; null if none."""
     codes = "|".join(sorted(set(US_STATES.values())))
-    code = F.nullif(F.regexp_extract(location, rf"(?:^|,\s*)({codes})(?:\s*\d{{5}})?\s*(?:,|$)", 1), F.lit(""))
+    code = F.nullif(F.regexp_extract(location, rf"(?:^|,\s*)({codes})(?:\s*\d{{5}})?\s*(?:[,;|+]|$)", 1), F.lit(""))
     low = F.concat(F.lit(" "), F.array_join(words(location), " "), F.lit(" "))
     names = reduce(lambda acc, kv: acc.when(low.contains(f" {kv[0]} "), kv[1]), sorted(US_STATES.items(), key=lambda kv: -len(kv[0])), F.when(F.lit(False), ""))
     return F.coalesce(code, names)
@@ -229,7 +229,15 @@ def mentions(text: Column, name: Column) -> Column:
     return F.when(F.size(words(name)) > 0, F.size(F.split(pad(text), F.concat(F.lit(r"\Q"), pad(name), F.lit(r"\E")), -1)) - 1).otherwise(0)
 
 
+# Markers of pages for a certain audience, and of titles that belong to it.
+AUDIENCES = {
+    "executive": (("executive", "partner-jobs"), ("executive", "partner", "principal", "director")),
+    "early-career": (("early-career", "early_career", "early careers", "student", "graduate", "internship", "university"), ("student", "graduate", "intern", "apprentice")),
+}
+
+
 def audience_mismatch(text: Column, target: Column) -> Column:
-    """``executive`` or ``early-career`` where the text is for such readers and the title is not, else null."""
-    rules = {"executive": r"\b(executive|leadership|board of directors)\b", "early-career": r"\b(intern|internship|students?|graduates?|early[- ]careers?|campus)\b"}
-    return reduce(lambda acc, kv: acc.when(F.lower(text).rlike(kv[1]) & ~F.lower(target).rlike(kv[1]), kv[0]), rules.items(), F.when(F.lit(False), ""))
+    """``executive`` or ``early-career`` where the text (path and label) is for such readers and the title is not; null also without a title."""
+    low, title = F.lower(F.coalesce(text, F.lit(""))), F.lower(target)
+    holds = lambda c, markers: reduce(lambda a, b: a | b, [c.contains(m) for m in markers])
+    return reduce(lambda acc, kv: acc.when(holds(low, kv[1][0]) & ~holds(title, kv[1][1]), kv[0]), AUDIENCES.items(), F.when(F.coalesce(target, F.lit("")) == "", None))

@@ -30,7 +30,7 @@ def js02_visible_cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def js03_indexed_cards(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10**9 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("job_id"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("job_id"))
     return K.indexed_cards(lines, "l_orderkey", "ord", "job_id", 2)
 
 
@@ -94,7 +94,7 @@ def src21_completed_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src22_stage_lookup(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("stage"), (F.col("l_linenumber") * 10**9 + F.col("l_partkey")).alias("ord"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("stage"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey")).alias("ord"))
     wanted = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "R").otherwise("N").alias("stage"))
     return K.looked_up(wanted, lines, ["o_orderkey", "stage"], "ord")
 
@@ -223,7 +223,7 @@ ORACLES = {
     "js01_scanned_records": "select user_id, min(event_id) as event_id from events group by 1 order by 2 limit 30",
     "js02_visible_cards": "select regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, min(page_id) as page_id from pages where url is not null group by 1",
     "js03_indexed_cards": """
-select l_orderkey, l_linenumber * 1000000000 + l_partkey as ord, l_partkey as job_id from lineitem where l_quantity > 10 and l_partkey is not null
+select l_orderkey, cast(l_linenumber as bigint) * 1000000000 + l_partkey as ord, l_partkey as job_id from lineitem where l_quantity > 10 and l_partkey is not null
   qualify row_number() over (partition by l_orderkey order by ord) <= 2""",
     "js05_pending_captures": f"select event_id from events where ts <= timestamp '{NOW}' and ts >= timestamp '{NOW}' - interval 1 day",
     "js08_upsert_captures": """
@@ -251,7 +251,7 @@ select user_id, event_type, event_id from l where user_id in (select user_id fro
     "src21_completed_lookup": """
 select c_custkey, c_name, o_orderkey, o_orderstatus from customer join (select * from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1) on c_custkey = o_custkey""",
     "src22_stage_lookup": """
-with l as (select l_orderkey, l_returnflag, max(l_linenumber * 1000000000 + l_partkey) as ord from lineitem group by 1, 2)
+with l as (select l_orderkey, l_returnflag, max(cast(l_linenumber as bigint) * 1000000000 + l_partkey) as ord from lineitem group by 1, 2)
 select o_orderkey, l_returnflag as stage, ord from orders join l on o_orderkey = l_orderkey and l_returnflag = case when o_orderstatus = 'F' then 'R' else 'N' end""",
     "snk01_result_records": f"with {_STAGED} select o_orderkey, pipeline_status, s1 as first_status, case when short then 'not_run' else s3 end as last_status from t",
     "snk03_as_json": """select '{"doc_id":' || doc_id || case when toxic <> 0 then ',"toxic":' || toxic else '' end || '}' as record from labels""",
@@ -259,7 +259,7 @@ select o_orderkey, l_returnflag as stage, ord from orders join l on o_orderkey =
     "snk06_invalidated_from": """
 with c as (select l_orderkey, min(l_linenumber) as n from lineitem where l_returnflag = 'R' group by 1)
 select l.l_orderkey, l_linenumber from lineitem l left join c on l.l_orderkey = c.l_orderkey where n is null or l_linenumber < n""",
-    "snk10_merged_parents": f"with {_PARENTS} select user_id, "at", url, changed from q",
+    "snk10_merged_parents": f'with {_PARENTS} select user_id, "at", url, changed from q',
     "snk10_merged_boards": f"""
 with {_PARENTS} select user_id, event_id as "at" from events where event_type = 'click' and user_id not in (select user_id from q where changed)
   qualify row_number() over (partition by user_id order by event_id desc) <= 3""",
