@@ -5,9 +5,11 @@ All of them return null for null, and treat text without a scheme as said per fu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +95,28 @@ def _host_port(url: Column) -> Column:
     return F.when(scheme_of(url) == "http", F.regexp_replace(authority, r":(80)?$", "")).otherwise(default)
 
 
+def ascii_hosts(urls: pd.Series) -> pd.Series:
+    """Urls with the host's labels that are not ASCII in IDNA form; null where a label has none."""
+
+    def one(url: str) -> str | None:
+        head, slashes, rest = url.partition("://")
+        cut = re.search(r"[/?#]|$", rest).start()
+        host, colon, port = rest[:cut].partition(":")
+        try:
+            return head + slashes + host.lower().encode("idna").decode() + colon + port + rest[cut:]
+        except UnicodeError:
+            return None
+
+    out, other = urls.copy(), urls.notna() & ~urls.map(lambda u: u is None or u.isascii())
+    out[other] = urls[other].map(one)
+    return out
+
+
+def canonical_international_url(url: Column) -> Column:
+    """``canonical_url`` of urls whose hosts may hold any letters; a vectorised function turns these into IDNA form first."""
+    return canonical_url(F.pandas_udf(ascii_hosts, "string")(url))
+
+
 def canonical_url(url: Column) -> Column:
     """The strict form that identities are compared in, null unless it is http(s) with a host and without user or controls.
 

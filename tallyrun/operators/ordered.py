@@ -5,10 +5,14 @@ Ties are broken by every column that is named in the order, so results do not de
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .shared import shared_table
 
 
 def strongest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -60,24 +64,33 @@ def family_slots(df: DataFrame, tier: str, family: str, order: Sequence[Column])
 
 
 def greedy_quota(df: DataFrame, quotas: Sequence[tuple[str, int]], lane: str, order: Sequence[Column], unique: Sequence[str]) -> DataFrame:
-    """Quota by quota, rows in order that repeat no value of ``unique`` columns already taken, as many as the quota says.
+    """Quota by quota, rows in order that repeat no value of any ``unique`` column already taken, as many as the quota says.
 
-    Each quota is bounded, so is the chosen set; every step is an anti-join with it and one sort-limit.
-    A lane's rows that clash among themselves give way to the earlier one.
+    Each quota is bounded, so is what the driver holds: the head of the rows that are still free, twice the quota, is gone through in
+    order, and the head is drawn anew until the quota is met or no row is free.  A null repeats nothing.
     """
-    chosen: list[DataFrame] = []
+    taken: dict[str, set] = {u: set() for u in unique}
+    chosen = []
     for number, (name, quota) in enumerate(quotas):
-        rows = df.filter(F.col(lane) == name)
-        for done in chosen:
+        position, most, free = 0, 2 * quota + 8, Counter()
+        while position < quota:
+            rows = df.filter(F.col(lane) == name)
             for u in unique:
-                rows = rows.join(F.broadcast(done.select(u).distinct()), u, "left_anti")
-        for u in unique:
-            rows = strongest_per_key(rows, [u], order)
-        chosen.append(top_ranked(rows, order, quota).drop("truncated").withColumn("quota", F.lit(number)))
-    out = chosen[0]
-    for c in chosen[1:]:
-        out = out.unionByName(c)
-    return out
+                rows = rows.filter(F.col(u).isNull() | ~F.col(u).isin(*taken[u])) if taken[u] else rows
+            head, before, again = rows.orderBy(*order).limit(most).collect(), position, free.copy()
+            for row in head:
+                own = [row[u] for u in unique if row[u] is not None]
+                if not own and again[repr(row)]:  # taken in an earlier draw; no value keeps it out of this one
+                    again[repr(row)] -= 1
+                elif position < quota and not any(row[u] in taken[u] for u in unique):
+                    position += 1
+                    chosen.append((*row, position, number))
+                    free[repr(row)] += not own
+                    for u in unique:
+                        taken[u] |= {row[u]} - {None}
+            if position == before or len(head) < most:
+                break
+    return df.sparkSession.createDataFrame(chosen, StructType([*df.schema.fields, StructField("position", IntegerType()), StructField("quota", IntegerType())]))
 
 
 def first_seen(df: DataFrame, key: str, order: Sequence[Column], limit: int | None = None) -> DataFrame:
@@ -89,8 +102,11 @@ def first_seen(df: DataFrame, key: str, order: Sequence[Column], limit: int | No
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """A total number from 1 in ``order`` over any number of rows: range partitions, their sizes summed up, and a number within each."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
+    """A total number from 1 in ``order`` over any number of rows: range partitions, their sizes summed up, and a number within each.
+
+    The sorted rows are written to the shared folder first, so borders and places within a partition stay as they are when executors are lost.
+    """
+    parts = shared_table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     sizes = parts.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("_least"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     return parts.join(F.broadcast(sizes.drop("n")), "_p").withColumn(name, F.col("_m") - F.col("_least") + F.col("_before") + 1).drop("_p", "_m", "_least", "_before")
