@@ -53,25 +53,39 @@ def excluding(candidates: DataFrame, history: DataFrame, keys: Sequence[str]) ->
     return reduce(lambda df, k: df.join(history.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti"), keys, candidates)
 
 
+MOST_SENT = 200_000
+"""Passage hashes that go to every task; more of them are joined by a shuffle."""
+SHORT_BLOCK = 500
+
+
 def mentions(texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, words: int = 4) -> DataFrame:
     """Pairs (text, passage) where the text contains the passage, without a nested loop.
 
-    A passage of ``words`` blank-separated words or more has inner words that must stand in the text, so texts and passages meet on a hash of the
-    second to the ``words``-th... word run, and ``contains`` decides.  Shorter passages are few by nature and meet every text (broadcast below a size check by the planner).
+    The inner words of a passage (all but the first and last, at most ``words``) must stand in a row in the text, so texts and passages meet
+    on a hash of such a run, one length at a time, and ``contains`` decides.  The hashes are broadcast only where there are few.
+    Passages of one or two words have no inner words; they are a query set that meets all texts in blocks of ``SHORT_BLOCK``.
     """
     split = lambda c: F.split(c, " ")
-    n = words
-    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
     p = passages.select(F.col(passage_id), F.col(passage).alias("_p"), split(passage).alias("_w")).filter(F.length("_p") > 0)
-    inner = p.filter(F.size("_w") >= n + 2).withColumn("_h", F.xxhash64(F.slice("_w", 2, n))).drop("_w")
+    p = p.withColumn("_n", F.least(F.size("_w") - 2, F.lit(words)))
+    sizes = {r["_n"]: r["n"] for r in p.groupBy(F.greatest("_n", F.lit(0)).alias("_n")).agg(F.count("*").alias("n")).collect()}
     t = texts.select(F.col(text_id), F.col(text).alias("_t"))
-    # a lambda's variable is split once; the expression itself would be split again for every run
-    hashed = F.get(F.transform(F.array(split("_t")), runs), F.lit(0))
-    seeds = t.select(text_id, F.explode(F.array_distinct(hashed)).alias("_h"))
-    pairs = seeds.join(inner.select(passage_id, "_h"), "_h").select(text_id, passage_id).distinct()
-    long_ = pairs.join(t, text_id).join(inner.select(passage_id, "_p"), passage_id).filter(F.contains("_t", "_p")).select(text_id, passage_id)
-    short = p.filter(F.size("_w") < n + 2).join(t, F.contains("_t", "_p")).select(text_id, passage_id)
-    return long_.unionByName(short)
+    found = t.join(p, F.lit(False)).select(text_id, passage_id) if not sizes else None
+    for n in sorted(sizes.keys() - {0}):
+        # a lambda's variable is split once; the expression itself would be split again for every run
+        runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))  # noqa: B023, E731
+        hashed = F.get(F.transform(F.array(split("_t")), runs), F.lit(0))
+        inner = p.filter(F.col("_n") == n).withColumn("_h", F.xxhash64(F.slice("_w", 2, n))).select(passage_id, "_p", "_h")
+        keys = inner.select(passage_id, "_h")
+        seeds = t.select(text_id, F.explode(hashed).alias("_h")).join(F.broadcast(keys) if sizes[n] <= MOST_SENT else keys, "_h").select(text_id, passage_id).distinct()
+        pairs = seeds.join(t, text_id).join(inner.drop("_h"), passage_id).filter(F.contains("_t", "_p")).select(text_id, passage_id)
+        found = pairs if found is None else found.unionByName(pairs)
+    blocks = -(-sizes.get(0, 0) // SHORT_BLOCK)
+    for k in range(blocks):
+        own = p.filter((F.col("_n") <= 0) & (F.pmod(F.xxhash64(passage_id, "_p"), F.lit(blocks)) == k)).select(passage_id, "_p")
+        pairs = t.join(F.broadcast(own), F.contains("_t", "_p")).select(text_id, passage_id)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def first_rule(rows: DataFrame, column: str, rules: Sequence[tuple[str, str, str]], default: str | None = None) -> Column:

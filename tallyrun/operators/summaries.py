@@ -60,16 +60,12 @@ def presence_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def stage_funnel(records: DataFrame, stage_rows: DataFrame, key: str, stage: str, status: str, stages: Sequence[str]) -> DataFrame:
     """stage, ord, status, n over every record and each fixed stage; a record without a row for a stage is ``not_recorded``.
 
-    The absent ones are counted by difference, so records and stages are never crossed.  A record counts once a stage, by its smallest status.
+    One pass over either table: the stages of a key lie side by side, so records join a row each.  A record counts once a stage, by its smallest status.
     """
-    dim = F.create_map(*[x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(i))])
-    each = stage_rows.filter(F.col(stage).isin(*stages)).groupBy(F.col(key).alias("k"), F.col(stage).alias("stage")).agg(F.min(status).alias("status"))
-    known = each.join(records.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
-    found = known.groupBy("stage", "status").agg(F.count("*").alias("n"))
-    total = records.agg(F.countDistinct(key).alias("total")).select("total", F.explode(F.array(*map(F.lit, stages))).alias("stage"))
-    seen = found.groupBy("stage").agg(F.sum("n").alias("seen"))
-    absent = total.join(seen, "stage", "left").select("stage", F.lit("not_recorded").alias("status"), (F.col("total") - F.coalesce("seen", F.lit(0))).alias("n")).filter("n > 0")
-    return found.unionByName(absent).select("stage", F.element_at(dim, F.col("stage")).alias("ord"), "status", "n")
+    wide = stage_rows.filter(F.col(stage).isin(*stages)).groupBy(F.col(key).alias("k")).agg(*[F.min(F.when(F.col(stage) == s, F.col(status))).alias(f"s{i}") for i, s in enumerate(stages)])
+    each = records.select(F.col(key).alias("k")).distinct().join(wide, "k", "left")
+    cells = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(i).alias("ord"), F.coalesce(f"s{i}", F.lit("not_recorded")).alias("status")) for i, s in enumerate(stages)])
+    return each.select(F.explode(cells).alias("c")).groupBy("c.stage", "c.ord", "c.status").agg(F.count("*").alias("n"))
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -110,32 +106,33 @@ def durations(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[st
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *percentile)
 
 
-def gated_metric(df: DataFrame, name: str, numerator: Column, denominator: Column, unknown: Column, gate: Column | None = None) -> DataFrame:
-    """metric, status, numerator, denominator, unknown_count, value.
+def gated_metrics(df: DataFrame, metrics: Sequence[tuple], scopes: Mapping[str, Column] | None = None) -> DataFrame:
+    """metric, status, numerator, denominator, unknown_count, value of every (name, numerator, denominator, unknown[, gated]); with ``scopes``
+    each once a scope, over the rows where its condition holds.  One aggregate over ``df`` gives them all.
 
-    ``available`` only if nothing is unknown and, where given, the aggregate ``gate`` holds; value is null unless
-    available with a denominator over 0.
+    ``available`` only if nothing is unknown and, where ``gated``, the denominator is over 0; value is null unless available with a denominator over 0.
     """
-    n, d, u = F.count_if(numerator & denominator), F.count_if(denominator), F.count_if(unknown)
-    found = df.agg(n.alias("numerator"), d.alias("denominator"), u.alias("unknown_count"), (F.lit(True) if gate is None else gate).alias("gate"))
-    open_ = (F.col("unknown_count") == 0) & F.col("gate")
-    return found.select(
-        F.lit(name).alias("metric"), F.when(open_, "available").otherwise("not_reportable").alias("status"), "numerator", "denominator", "unknown_count",
-        F.when(open_ & (F.col("denominator") > 0), F.col("numerator") / F.col("denominator")).alias("value"),
-    )
-
-
-def annotation_metrics(records: DataFrame) -> DataFrame:
+    aggs, cells = [], []
+    for scope, inside in (scopes or {None: F.lit(True)}).items():
+        for name, numerator, denominator, unknown, *gated in metrics:
+            n, d, u = (f"{kind}{len(cells)}" for kind in "ndu")
+            aggs += [F.count_if(inside & numerator & denominator).alias(n), F.count_if(inside & denominator).alias(d), F.count_if(inside & unknown).alias(u)]
+            open_ = (F.col(u) == 0) & ((F.col(d) > 0) if gated and gated[0] else F.lit(True))
+            cells.append(F.struct(
+                *([F.lit(scope).alias("scope")] if scopes else []), F.lit(name).alias("metric"), F.when(open_, "available").otherwise("not_reportable").alias("status"), F.col(n).alias("numerator"),
+                F.col(d).alias("denominator"), F.col(u).alias("unknown_count"), F.when(open_ & (F.col(d) > 0), F.try_divide(F.col(n), F.col(d))).alias("value"),
+            ))
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+
+
+def annotation_metrics(records: DataFrame, scopes: Mapping[str, Column] | None = None) -> DataFrame:
     """Precision, recall and defect rate of records (has_opening, annotated, verdict, eligible as text, defect)."""
-    opening, verdict = F.col("has_opening"), F.col("verdict")
-    missing = ~F.col("annotated")
-    reviewed = verdict.isin("verified", "rejected")
-    exact = F.coalesce(opening, F.lit(False))
-    precision = gated_metric(records, "precision", verdict == "verified", exact & F.coalesce(reviewed, F.lit(False)), missing | (exact & ~F.coalesce(reviewed, F.lit(False))))
-    eligible = F.coalesce(F.col("eligible") == "true", F.lit(False))
-    recall = gated_metric(records, "recall", exact & F.coalesce(verdict == "verified", F.lit(False)), eligible, missing, F.count_if(eligible) > 0)
-    defect = gated_metric(records, "defect_rate", F.coalesce(F.col("defect"), F.lit(False)), F.lit(True), missing)
-    return precision.unionByName(recall).unionByName(defect)
+    missing, verified = ~F.col("annotated"), F.coalesce(F.col("verdict") == "verified", F.lit(False))
+    reviewed, exact, eligible = F.coalesce(F.col("verdict").isin("verified", "rejected"), F.lit(False)), F.coalesce("has_opening", F.lit(False)), F.coalesce(F.col("eligible") == "true", F.lit(False))
+    return gated_metrics(records, [
+        ("precision", verified, exact & reviewed, missing | (exact & ~reviewed)), ("recall", exact & verified, eligible, missing, True),
+        ("defect_rate", F.coalesce("defect", F.lit(False)), F.lit(True), missing),
+    ], scopes)
 
 
 def terminal_stage(stages: Column) -> Column:

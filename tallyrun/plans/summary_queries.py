@@ -80,8 +80,7 @@ def agg15_metric_gated(spark: SparkSession, d: str) -> DataFrame:
         "has_opening", F.col("quality").isNotNull().alias("annotated"), F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "rejected").alias("verdict"),
         F.when(F.col("quality") == 1, "true").when(F.col("quality") == 0, "false").alias("eligible"), (F.col("toxic") == 1).alias("defect"),
     )
-    full = S.annotation_metrics(records.filter("annotated")).withColumn("scope", F.lit("labelled"))
-    return S.annotation_metrics(records).withColumn("scope", F.lit("all")).unionByName(full)
+    return S.annotation_metrics(records, {"all": F.lit(True), "labelled": F.col("annotated")})
 
 
 def agg18_terminal_outcome(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyrun.functions import privacy, urls
-from tallyrun.operators import ordered
+from tallyrun.operators import matching, ordered
 
 
 def one(spark, column):
@@ -54,3 +54,12 @@ def test_redaction(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["v"] for r in df.select("t", privacy.redact_body(F.col("t")).alias("v")).collect()} == cases
     assert one(spark, privacy.is_session_token(F.lit(session))) and not one(spark, privacy.is_session_token(F.lit(plain)))
+
+
+def test_mentions_of_any_length(spark):
+    texts = [(1, "the quick brown fox jumps over the lazy dog"), (2, "xthe quicky"), (3, None), (4, "fox"), (5, "over the lazy dogs and the quick brown fox jumps over")]
+    passages = [(10, "fox"), (11, "he quick"), (12, "quick brown fox"), (13, "he quick brown fox jumps over t"), (14, ""), (15, None), (16, "lazy dog"), (17, "absent words in here now")]
+    got = matching.mentions(spark.createDataFrame(texts, "t long, a string"), "t", "a", spark.createDataFrame(passages, "p long, b string"), "p", "b").collect()
+    assert sorted((r["t"], r["p"]) for r in got) == sorted((t, p) for t, a in texts for p, b in passages if a and b and b in a)
+    none = matching.mentions(spark.createDataFrame(texts, "t long, a string"), "t", "a", spark.createDataFrame([], "p long, b string"), "p", "b")
+    assert none.collect() == []
