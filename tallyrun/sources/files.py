@@ -80,7 +80,7 @@ def read_registry(spark: SparkSession, path: str, most_rows: int = 100_000) -> D
     header = spark.read.schema(text(f"c{i}" for i in range(len(REGISTRY_COLUMNS) + 1))).option("header", False).csv(path).limit(1).collect()
     if not header or tuple(header[0])[:-1] != REGISTRY_COLUMNS or header[0][-1] is not None:
         raise BadInput("schema_mismatch")
-    rows = spark.read.schema(text(REGISTRY_COLUMNS)).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).csv(path)
+    rows = spark.read.schema(text(REGISTRY_COLUMNS)).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).option("escape", "\"").csv(path)
     public = [c for c in REGISTRY_COLUMNS if c != PERSONAL_COLUMN]
     found = rows.select(*[(F.lower(F.trim(c)) if c == "Domain name" else F.trim(c)).alias(c.lower().replace(" ", "_")) for c in public])
     sound = F.col("domain_name").rlike(r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,}$")
