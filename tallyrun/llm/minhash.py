@@ -43,7 +43,9 @@ SIMILARITY = 80
 """In hundredths."""
 BANDS, ROWS = 40, 5
 CIRCLE_BITS = 21
-HUBS = 8
+HUBS = 16
+LEFT = 3000
+"""When no more members than these are left in all buckets, each of them is a hub, which ends the rounds."""
 SALTS = 64
 """Tasks that the comparisons with one hub are dealt to."""
 _SEED = 41
@@ -250,7 +252,8 @@ def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
         roots = _joined(roots, scratch(new, "links"), scratch)
         still = _open(rest, roots).select("hub", "node", "n").distinct()
         then = scratch(_next_buckets(met, still, roots), "buckets")
-        hubs = then.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("d", "node", "n", "root")).alias("m"))
+        slot = F.pmod(F.xxhash64("node"), F.lit(HUBS)) if then.count() > LEFT else F.col("node")
+        hubs = then.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("d", "node", "n", "root")).alias("m"))
         lead = hubs.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("hub"))
         now = scratch(then.join(lead, "key").select("key", "node", "n", "root", "hub"), "open")
         more = scratch(hubs.select("key", F.col("m.node").alias("other"), F.col("m.n").alias("other_n"), F.col("m.root").alias("other_root")), "hubs")
