@@ -289,42 +289,50 @@ def sorted_matches(phrases: DataFrame, levels: int = LEVELS, scratch: Scratch |
     return reduce(DataFrame.union, lists).groupBy("row", "j").agg(F.max("m").alias("m"))
 
 
+def _fields(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The offsets of a list of structs, and its fields as arrays."""
+    return lists.offsets.to_numpy(), [lists.values.field(name).to_numpy(zero_copy_only=False) for name in names]
+
+
+def left_open(offsets: np.ndarray, j: np.ndarray, at: np.ndarray, reach: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which anchors have a window that the sort has left open: one that starts after an anchor whose shared phrases do not reach its end.
+
+    Windows of anchor p start from ``length - gram`` before it on, so it is settled when every anchor from the last at or before that place up
+    to p itself reaches the ends of the windows that start before the next one, with no anchor left out between.
+    """
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    far = np.int64(at.max(initial=0) + length + 1)
+    place = at + row * far
+    first = np.searchsorted(place, np.maximum(0, at - (length - gram)) + row * far, "right") - 1
+    held = np.zeros(len(at), bool)
+    held[:-1] = (row[:-1] == row[1:]) & (j[:-1] == j[1:] - 1) & (at[1:] - 1 + length <= reach[:-1])
+    broken = np.concatenate([[0], np.cumsum(~held)])
+    return (first < offsets[row]) | (at + length > reach) | (broken[np.arange(len(at))] > broken[np.maximum(first, 0)])
+
+
 def _open_anchors(phrases: DataFrame, length: int, gram: int) -> DataFrame:
-    """Of (row, anchors): the grams of anchors with a window that the sort has left open."""
+    """Of (row, anchors): the grams of anchors that are left open."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = []
-            for anchors in part.column("anchors"):
-                items = anchors.as_py()
-                for p, x in enumerate(items):
-                    low, q, whole = max(0, x["at"] - (length - gram)), p, True
-                    while whole:
-                        y = items[q]
-                        # windows that start from y's place to the next anchor's, or to x's place
-                        high = x["at"] if q == p else items[q + 1]["at"] - 1
-                        whole = high + length <= y["reach"]
-                        if y["at"] <= low:
-                            break
-                        q -= 1
-                        whole = whole and q >= 0 and items[q]["j"] == items[q + 1]["j"] - 1
-                    if not whole:
-                        found.append(x["gram"])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["gram"])
+            offsets, (j, at, grams, reach) = _fields(part.column("anchors"), "j", "at", "gram", "reach")
+            if len(offsets) > 1 and offsets[-1] > offsets[0]:
+                own = slice(offsets[0], offsets[-1])
+                found = grams[own][left_open(offsets - offsets[0], j[own], at[own], reach[own], length, gram)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], ["gram"])
 
     return phrases.select("anchors").mapInArrow(scan, "gram long").distinct()
 
 
-def _taking(text: pa.Scalar, items: list[dict], length: int, gram: int) -> tuple[np.ndarray, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _taking(text: pa.Scalar, items: tuple[np.ndarray, ...], length: int, gram: int) -> tuple[np.ndarray, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, their hashes, starts, settled, code, start of the core) of the windows that take part in the count: open ones,
     and settled ones of the leading text of a run.  A code stands for the window's anchor and block; equal windows
     lie alike to their anchors, so they have equal cores: the bytes that all windows of the block share."""
     data = np.frombuffer(text.as_buffer(), np.uint8)
     windows, at, _, rolling = _anchors(data, np.array([0, len(data)]), length, gram)
     needed, reach, leads = np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, bool)
-    j = np.array([x["j"] for x in items])
-    needed[j], reach[j], leads[j] = [x["needed"] for x in items], [x["reach"] for x in items], [x["leads"] for x in items]
+    j = items[0]
+    needed[j], reach[j], leads[j] = items[1:]
     starts = np.flatnonzero(windows >= 0)
     starts = starts[needed[np.searchsorted(at, windows[starts])]]
     phrase = np.searchsorted(at, starts, "right") - 1  # -1, before the first anchor, is the spare entry
@@ -345,8 +353,9 @@ def _cores(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for row, text, anchors in zip(part.column("row").to_pylist(), part.column("text"), part.column("anchors"), strict=True):
-                data, rolling, _, _, code, cores = _taking(text, anchors.as_py(), length, gram)
+            offsets, fields = _fields(part.column("anchors"), "j", "needed", "reach", "leads")
+            for row, text, a, b in zip(part.column("row").to_pylist(), part.column("text"), offsets[:-1], offsets[1:], strict=True):
+                data, rolling, _, _, code, cores = _taking(text, tuple(f[a:b] for f in fields), length, gram)
                 code, first = np.unique(code, return_index=True)
                 if not len(code):
                     continue
@@ -369,9 +378,10 @@ def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for row, text, anchors, codes in zip(part.column("row").to_pylist(), part.column("text"), part.column("anchors"), part.column("codes"), strict=True):
-                data, rolling, starts, settled, code, _ = _taking(text, anchors.as_py(), length, gram)
-                take = np.isin(code, np.array(codes.as_py(), np.int64))
+            offsets, fields = _fields(part.column("anchors"), "j", "needed", "reach", "leads")
+            for row, text, a, b, codes in zip(part.column("row").to_pylist(), part.column("text"), offsets[:-1], offsets[1:], part.column("codes"), strict=True):
+                data, rolling, starts, settled, code, _ = _taking(text, tuple(f[a:b] for f in fields), length, gram)
+                take = np.isin(code, codes.values.to_numpy())
                 starts, settled = starts[take], settled[take]
                 if len(starts):
                     both = [r.of(starts, starts + length).view(np.int64) for r in (rolling, Rolling(data, 1))]
@@ -406,7 +416,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, leve
     bytes_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     bytes_ = bytes_.withColumn("key", F.unhex(F.sha2("text", 256)))
     texts = bytes_.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("row", "key", "n_copies", "text", "chosen")
-    texts = scratch(texts.dropDuplicates(["row"]), "texts")
+    # a row's text comes twice only if its id comes twice with it
+    twice = not parsed.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    texts = scratch(texts.dropDuplicates(["row"]) if twice else texts, "texts")
     rows = scratch(parsed.select("doc_id", "key", "n_bytes").join(classes.select("key", "n_copies"), "key"), "rows")
     scratch.drop(parsed, classes, chosen)
 
