@@ -29,7 +29,7 @@ def fn18_posting_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def fn34_title_places(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 4
-    return _part(spark, d).select("p_partkey", I.title_location(F.concat("p_name", F.when(k == 0, " (NYC)").when(k == 1, " - Washington DC").when(k == 2, ", remote, New York City").otherwise(" in nyc"))).alias("place"))
+    return _part(spark, d).select("p_partkey", I.title_location(F.concat("p_name", F.when(k == 0, " (NYC)").when(k == 1, " - Washington DC").when(k == 2, ", New York City").otherwise(" in nyc"))).alias("place"))
 
 
 def fn38_career_keywords(spark: SparkSession, d: str) -> DataFrame:

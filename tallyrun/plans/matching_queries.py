@@ -58,8 +58,8 @@ def joi18_rule_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def joi20_consume_once(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("user_id", "event_id")
-    return M.consume_once(events.filter("event_id % 3 = 0"), events.filter("event_id % 3 = 1"), ["user_id"], "event_id")
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return M.consume_once(events.filter("event_type in ('view', 'click')"), events.filter("event_type not in ('view', 'click')"), ["user_id"], "event_id")
 
 
 def set03_first_of_union(spark: SparkSession, d: str) -> DataFrame:
@@ -160,8 +160,8 @@ select e.user_id as scope_id, count(*) as n from events e join s on e.user_id =
 select case when ends_with(p_brand, '5') then 'five' when contains(p_brand, '#3') then 'three' when regexp_matches(p_brand, '[24]$') then 'even'
   when starts_with(p_brand, 'Brand') then 'other' end as label, count(*) as n from part group by 1""",
     "joi20_consume_once": """
-with a as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_id % 3 = 0),
-b as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_id % 3 = 1)
+with a as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type in ('view', 'click')),
+b as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type not in ('view', 'click'))
 select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.n, b.n) as n, a.event_id as request_order, b.event_id as entry_order
   from a full join b on a.user_id = b.user_id and a.n = b.n""",
     "set03_first_of_union": """
