@@ -1 +1 @@
-"""See the modules of this package."""
+"""The append-only log and stores that follow it, with Structured Streaming."""
