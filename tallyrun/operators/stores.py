@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The stages of a record in order, and the statuses that let the next one run.
-STAGES = ("linkedin_discovery", "company_website_resolution", "career_discovery", "job_board_discovery", "provider_identification", "opening_match", "result_validation")
+from .summaries import STAGES
+
+# The statuses that let the next stage run, and those that an export keeps.
 PASSED = ("success", "not_applicable")
 EXPORT_STATUSES = ("success", "partial", "failed", "unsupported")
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 # The stages in order, statuses that fail, and outcomes by rank.
 STAGES = ("linkedin_discovery", "website_resolution", "hiring_identity_resolution", "career_discovery", "job_board_discovery", "opening_match", "result_validation")
 FAILING = ("failed", "partial", "unsupported")
@@ -236,7 +238,8 @@ def signature_clusters(rows: DataFrame, signature: Sequence[str], company: str,
     """Groups by signature with n, distinct companies, qualified (``least`` companies and over) and rank."""
     found = rows.groupBy(*signature).agg(F.count("*").alias("n"), F.countDistinct(company).alias("companies"))
     found = found.withColumn("qualified", F.col("companies") >= least)
-    return found.withColumn("cluster_rank", F.row_number().over(Window.orderBy(~F.col("qualified"), F.desc("companies"), *signature)))  # as many rows as signatures
+    ranked = numbered(found, [~F.col("qualified"), F.desc("companies"), *[F.col(c) for c in signature]], "cluster_rank")
+    return ranked.withColumn("cluster_rank", F.col("cluster_rank").cast("int"))
 
 
 def cause_of(transport: Column, budget: Column, identity: Column, inventory: Column, reason: Column) -> Column:

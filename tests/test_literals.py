@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyrun.functions import privacy, urls
+from tallyrun.functions import html, privacy, urls
 from tallyrun.operators import matching, ordered
 
 
@@ -63,3 +63,8 @@ def test_mentions_of_any_length(spark):
     assert sorted((r["t"], r["p"]) for r in got) == sorted((t, p) for t, a in texts for p, b in passages if a and b and b in a)
     none = matching.mentions(spark.createDataFrame(texts, "t long, a string"), "t", "a", spark.createDataFrame([], "p long, b string"), "p", "b")
     assert none.collect() == []
+
+
+def test_links_in_any_quotes(spark):
+    page = """<a href="/a">x</a><A HREF='/b?x=1'>y</A><a class=c href=/c>z</a><a href = "/a">again</a><a data-href-x="n">"""
+    assert one(spark, html.hrefs(F.lit(page))) == ["/a", "/b?x=1", "/c"] and one(spark, html.hrefs(F.lit(None).cast("string"))) == []
