@@ -99,11 +99,16 @@ t as (select r, sum(least(8, gap)) as n_repeat_words from p group by r),
 l as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
 f as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
   cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
-  cast(len(l) as bigint) as n_lines, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
+  cast(len(l) as bigint) as n_lines, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+  len(list_filter(l, lambda x: regexp_matches(x, '{quality_rules.BULLET_LINE}'))) as n_bullets,
+  len(list_filter(l, lambda x: regexp_matches(x, '{quality_rules.ELLIPSIS_LINE}'))) as n_ellipses,
+  len(list_filter(w, lambda x: regexp_matches(x, '{quality_rules.LETTERLESS_WORD}'))) as n_letterless
   from d join l using (r) left join t using (r)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
-select *, not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
-  or (n_lines >= 5 and 100 * n_dup_lines > 60 * n_lines)) as kept from b""",
+select * exclude (n_bullets, n_ellipses, n_letterless), not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
+  or (n_lines >= 5 and 100 * n_dup_lines > 60 * n_lines)
+  or (n_lines >= 5 and 10 * n_bullets > 9 * n_lines) or (n_lines >= 5 and 10 * n_ellipses > 3 * n_lines)
+  or 100 * n_letterless > 40 * n_words) as kept from b""",
     "op7_chat_formatting": """
 with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
 c as (select conv_id, count(*) as n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as chat from t group by conv_id),

@@ -74,3 +74,29 @@ def test_language_edges(spark):
     none = language_id.learn(spark.createDataFrame([], schema))
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
     assert language_id.identify(spark.createDataFrame([], schema), model).collect() == []
+
+
+def test_lazy_rules(spark):
+    words = [f"word{i} more{i} text{i} of line{i}" for i in range(10)]
+    texts = {
+        1: "\n".join("- " + w for w in words),
+        2: "\n".join(" • " + w for w in words),
+        3: "\n".join(words[:6] + [w + "..." for w in words[6:]]),
+        4: "\n".join(words[:6] + [w + "… \r" for w in words[6:]]),
+        5: " ".join(words[:4]) + " 12345" * 3 + " 1 2 3 4 5 6 7 8 9 10 11 12",
+        6: "\n".join(["- " + w for w in words[:9]] + words[9:]),
+        7: "\n".join(words[:7] + [w + "..." for w in words[7:]]),
+        8: "\n".join("中文 " + w for w in words),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    names = {r["doc_id"]: r["v"] for r in docs.select("doc_id", quality_rules.verdict(quality_rules.RULES).alias("v")).collect()}
+    assert names == {1: "bullets", 2: "bullets", 3: "ellipses", 4: "ellipses", 5: "letterless", 6: None, 7: None, 8: None}
+    assert {r["doc_id"] for r in quality_rules.judge_quality(docs).filter("kept").collect()} == {6, 7, 8}
+
+
+def test_cascade_puts_first_what_rejects_most_a_second(spark):
+    docs = spark.createDataFrame([(i, "few words") for i in range(20)], "doc_id long, text string")
+    short, never = quality_rules.Rule("short", "{n_words} < 20"), quality_rules.Rule("never", "{n_words} < 0")
+    assert quality_rules.fit_cascade(docs, (never, short)) == [short, never]
+    again = quality_rules.Rule("again", "{n_words} < 20")
+    assert quality_rules.fit_cascade(docs, (never, again), placed=(short,))[0] in (never, again)
