@@ -4,6 +4,9 @@ An archive begins with a skippable frame that holds the dictionary; then every r
 archives of its own rows into the shared folder and reports their paths, so a repeated task leaves an unused file and
 nothing else; a reader takes one archive a task and holds one record at a time.
 
+Payloads move once, dealt by the digest where that digest repeats and at random elsewhere.  Digests that repeat very often are
+too few to matter and go to every task, so that one popular payload is not one task.
+
 Of rows with equal payloads (by SHA-1) of at least ``REVISIT_BYTES``, the one with the largest id becomes a response and the others revisit it.
 A null payload is empty.  Rows that repeat the largest id are responses too, as are all rows of a group without
 ids.  A null url leaves the target header out.  An empty table gives no archive and an empty result.
@@ -30,6 +33,8 @@ DICTIONARY_BYTES = 32 << 10
 DICTIONARY_ROWS = 200
 """The dictionary is trained on so many rows at most, ``DICTIONARY_CHARS`` of each."""
 DICTIONARY_CHARS = 8192
+HOT_SHARE = 10_000
+"""A digest of more than this part of all repeated rows is hot; there are fewer than ``HOT_SHARE`` of them, which bounds what is broadcast."""
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -52,12 +57,19 @@ def trained_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
         return b""
 
 
-def with_record_types(pages: DataFrame, page_id: str = "page_id", payload: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def with_record_types(pages: DataFrame, page_id: str = "page_id", payload: str = "html", revisit_bytes: int = REVISIT_BYTES, hot_share: int = HOT_SHARE) -> DataFrame:
     """page_id, url, payload (string), digest, record_type and refers_to of each row."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), "url", F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    slim = rows.filter(F.octet_length("payload") >= revisit_bytes).select("page_id", F.sha1("payload").alias("digest"))
-    groups = slim.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = rows.withColumn("digest", F.sha1("payload")).join(groups, "digest", "left")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    slim = rows.filter(F.octet_length("payload") >= revisit_bytes).select("page_id", "digest")
+    groups = written(slim.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1"), "warc-groups")
+    hot_rows = (groups.agg(F.sum("n")).first()[0] or 0) // hot_share
+    hot = groups.filter(F.col("n") > hot_rows).select(F.col("digest").alias("hot_digest"), F.col("target").alias("hot_target"))
+    rest = groups.filter(F.col("n") <= hot_rows).select(F.col("digest").alias("key"), "target")
+    marked = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    dealt = F.col("hot_digest").isNull() & (F.octet_length("payload") >= revisit_bytes)
+    key = F.when(dealt, F.col("digest")).otherwise(F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")))
+    found = marked.withColumn("key", key).join(rest, "key", "left").withColumn("target", F.coalesce("hot_target", "target"))
     refers: Column = F.when(F.col("page_id").eqNullSafe(F.col("target")), None).otherwise(F.col("target"))
     return found.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).withColumn(
         "record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")

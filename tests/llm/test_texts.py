@@ -154,6 +154,17 @@ def test_archives(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], pages.schema)).collect() == []
 
 
+def test_hot_and_other_digests(spark):
+    rows = [(i, "h" * 1200) for i in range(30)] + [(100 + i, f"{i // 2}" * 1100) for i in range(20)] + [(None, "h" * 1200), (200, "small")]
+    pages = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id long, url string, html string")
+    want = sorted((i, {"h": 29}.get(t[0], 101 + (i or 0) // 2 * 2 - 100) if i != 200 else None) for i, t in rows if i is not None)
+    want = [(i, None if i == x else x) for i, x in want]
+    for share in (1, 3, 10_000):
+        got = warc.with_record_types(pages, hot_share=share).collect()
+        assert sorted((r["page_id"], r["refers_to"]) for r in got if r["page_id"] is not None) == want
+        assert [r["refers_to"] for r in got if r["page_id"] is None] == [29] and len(got) == len(rows)
+
+
 def test_broken_records():
     good = warc.record_bytes(1, "http://a", b"hello", __import__("hashlib").sha1(b"hello").hexdigest(), None)
     assert warc.parsed(good)["error"] is None
