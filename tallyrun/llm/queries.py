@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, minhash, packing, quality_rules, substring_dedup, suffix_array, url_filter, warc
+from . import alignment, chat_format, decontaminate, divergence, language_id, line_dedup, minhash, packing, quality_rules, substring_dedup, suffix_array, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), packing.tokenizer_path(), packing.tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_quality_rules, op3_suffix_array_dedup, op4_language_id, op5_decontamination, op6_substring_dedup, op7_chat_formatting, op8_warc, op9_minhash_near_dedup, op10_packing)
+    for f in (op1_url_filters, op2_quality_rules, op3_suffix_array_dedup, op4_language_id, op5_decontamination, op6_substring_dedup, op7_chat_formatting, op8_warc, op9_minhash_near_dedup, op10_packing,
+              op11_cross_tokenizer_alignment, op12_source_divergence_audit, op13_line_dedup)
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -132,4 +146,31 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 e as (select a, b from l union all select b, a from l),
 r as (with recursive r as (select doc_id, doc_id as o from n union select r.doc_id, e.b from r join e on e.a = r.o) select doc_id, min(o) as component_id from r group by doc_id)
 select doc_id, n_shingles, component_id, doc_id = component_id as kept from n join r using (doc_id)""",
+    "op12_source_divergence_audit": rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct r) as docs from w group by all),
+k as (select lang, term, sum(n) as n from c group by all having sum(docs) >= {divergence.MIN_DOCS}),
+v as (select lang, count(*) as v, sum(n) as n from k group by lang),
+g as (select distinct lang, source from d),
+s as (select lang, source, coalesce(sum(c.n), 0) as n from g left join (select c.* from c join k using (lang, term)) c using (lang, source) group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+  1 + (1000000000::hugeint * (coalesce(c.n, 0) + {divergence.SMOOTH})) // (s.n::hugeint + {divergence.SMOOTH} * v.v) as p,
+  1 + (1000000000::hugeint * (k.n + {divergence.SMOOTH})) // (v.n::hugeint + {divergence.SMOOTH} * v.v) as q
+  from g join k using (lang) join v using (lang) join s on s.lang = g.lang and s.source = g.source
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select lang, a.source, 'pair' as part, b.source as item, coalesce(x.f, 0) as value from g a join g b using (lang)
+  left join (select a.lang, a.source as s1, b.source as s2, sum(abs(a.p - b.p)) as f from p a join p b on a.lang = b.lang and a.term = b.term group by all) x
+  on x.lang = a.lang and x.s1 = a.source and x.s2 = b.source where a.source <> b.source
+  union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank
+from f qualify part = 'pair' or rank <= {divergence.TOP_TERMS}""",
+    "op13_line_dedup": rf"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) as key from l),
+n as (select key, count(distinct r) as docs, max(doc_id) as keeper from k where length(key) >= {line_dedup.MIN_CHARS} group by key having count(distinct r) >= {line_dedup.MIN_DOCS}),
+j as (select r, i, line, n.key is not null and n.keeper is distinct from k.doc_id as gone from k left join n on n.key = k.key)
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from j join d using (r) group by r, doc_id""",
 }
