@@ -5,13 +5,14 @@ interval index; bisecting it with the borders of each A token gives the run of B
 where that run and the next one's share a B token; gaps never spanned become group boundaries.  All A-B pairs of occurrences in a group are links.
 The count of an id pair is the number of documents, corpus-wide, that hold it linked.
 
-Every run of blanks and newlines starts a group: A's pre-tokenizer cuts there, and no piece of B joins another character to a
-following blank or to a newline (checked on its vocabulary).  So a text is cut before these runs and each distinct segment is tokenised and aligned once a
+Every run of blanks and newlines starts a group, and so does an ASCII sign behind a Latin letter: A's pre-tokenizer cuts there, and no piece of B joins
+the two (checked on its vocabulary).  So a text is cut at these places and each distinct segment is tokenised and aligned once a
 worker (short ones are kept in a bounded cache).  Texts with other white space, or for vocabularies that fail the check all texts, are one segment.
 
-1. Tasks count documents per pair in bounded tables; one aggregate with partial sums gives the pair counts and each A id's highest.
-2. The most frequent pairs, at most ``most_sent``, are chosen by a histogram of counts and go to every task, where a second pass over the texts adds
-   up each document's links.  Links of other pairs, all rare ones, are joined to their counts by pair, and their sums to the documents.
+1. Tasks align their documents and write sizes, digest and distinct linked pairs with the number of their links: texts are tokenised once.
+2. One aggregate over these pairs gives their counts, another each A id's highest.
+3. The most frequent pairs, at most ``most_sent``, are chosen by a histogram of counts and go to every task, where each document's links are summed.
+   Links of other pairs, all rare ones, are joined to their counts by pair, and their sums to the documents.
 
 Null and empty texts, and texts that either tokenizer does not give back byte for byte, have no tokens: zeros and ''.  Every row is a document of its own,
 repeated ids included.  A group of n A and m B tokens has n * m links, which are multiplied and not listed; only its distinct id pairs are.
@@ -19,12 +20,15 @@ repeated ids included.  A group of n A and m B tokens has n * m links, which are
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,13 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 MOST_SENT = 1_000_000
-CACHE_SEGMENTS, CACHE_CHARS = 200_000, 64
-"""A worker keeps so many segments of at most so many characters; when there are more, it starts anew."""
-TABLE_PAIRS = 500_000
-"""Pair counts that a task holds before it hands them on."""
+CACHE_SEGMENTS, CACHE_CHARS = 150_000, 64
+"""A worker keeps the segments of at most so many characters in two halves of so many; a full half replaces the older one."""
+CHUNK = 256
+"""Documents whose new segments are tokenised together."""
 
-_SEGMENT = re.compile(r"[ \n]+[^ \n]*")
+_CUT = r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-/:-@\[-`{-~])"
+_SEGMENT = re.compile(rf"[ \n]+|{_CUT}")
 _OTHER_SPACE = re.compile(r"[^\S \n]|\u180e")
 
 
@@ -50,13 +55,22 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segments_of(text: str) -> list[str]:
+    """Blank + text, cut before runs of blanks and newlines and before signs behind a letter."""
+    text = " " + text
+    cuts = [m.start() for m in _SEGMENT.finditer(text)]
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def groups_of(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int]]:
     """First A and first B token of each group, from the ends of the tokens' byte ranges (both cover the same bytes from 0 on)."""
-    a_starts = np.concatenate([[0], a_ends[:-1]])
-    first = np.searchsorted(b_ends, a_starts, "right")  # the B token that the A token's first byte stabs
-    last = np.searchsorted(b_ends, a_ends, "left")  # and the one its last byte stabs
-    free = np.flatnonzero(last[:-1] < first[1:]) + 1
-    return np.concatenate([[0], free]), np.concatenate([[0], first[free]])
+    out = [(0, 0)]
+    for i, end in enumerate(a_ends[:-1], 1):
+        last = bisect_left(b_ends, end)  # the B token that the A token's last byte stabs
+        after = bisect_right(b_ends, end)  # and the one that the next A token's first byte stabs
+        if last < after:
+            out.append((i, after))
+    return out
 
 
 @dataclass(slots=True, eq=False)
@@ -67,8 +81,7 @@ class Segment:
     n_b: int
     n_groups: int
     groups: str
-    pairs: tuple[int, ...]
-    links: tuple[int, ...]
+    links: dict[int, int]
 
 
 class Aligner:
@@ -85,45 +98,73 @@ class Aligner:
         self.bytes_a = {k: bytes(map(table.__getitem__, x)) for x, k in self.a.get_vocab().items() if all(c in table for c in x)}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
-        self.by_segment = not any("▁" in x.lstrip("▁") or len(x) > 1 and "\n" in x for x in pieces)
-        self.lead = self.b.encode("\n")
-        self.kept: dict[str, Segment | None] = {}
+        own = [x for k, x in enumerate(pieces) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
+        self.by_segment = not any("▁" in x.lstrip("▁") or "\n" in x or re.search(_CUT, x) for x in own)
+        self.lead = len(self.b.encode("\n"))
+        self.new: dict[str, Segment | None] = {}
+        self.old: dict[str, Segment | None] = {}
 
     def _align(self, a: list[int], b: list[int], raw: bytes) -> Segment | None:
         own_a, own_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
         if b"".join(own_a) != raw or b"".join(own_b) != raw:
             return None
-        at_a, at_b = groups_of(np.cumsum([len(x) for x in own_a]), np.cumsum([len(x) for x in own_b]))
-        links, named = Counter(), []
-        for i, j, k, m in zip(at_a.tolist(), [*at_a[1:].tolist(), len(a)], at_b.tolist(), [*at_b[1:].tolist(), len(b)], strict=True):
-            named.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            right = Counter(b[k:m])
-            for x, n in Counter(a[i:j]).items():
-                for y, p in right.items():
-                    links[x << 32 | y] += n * p
-        return Segment(len(a), len(b), len(named), ";".join(named), tuple(links), tuple(links.values()))
-
-    def segment(self, text: str) -> Segment | None:
-        """Of a part that starts with a blank or newline; None where the tokenizers do not give it back."""
-        if text in self.kept:
-            return self.kept[text]
-        b = self.b.encode("\n" + text)[len(self.lead) :]
-        found = self._align(self.a.encode(text, add_special_tokens=False).ids, b, text.encode())
+        starts = groups_of(list(accumulate(map(len, own_a))), list(accumulate(map(len, own_b))))
+        links: dict[int, int] = {}
+        named = []
+        for (i, k), (j, m) in zip(starts, [*starts[1:], (len(a), len(b))], strict=True):
+            left, right = a[i:j], b[k:m]
+            if j - i == m - k == 1:
+                named.append(f"{a[i]}|{b[k]}")
+                weighed = ((a[i] << 32 | b[k], 1),)
+            else:
+                named.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
+                if len(left) * len(right) > 64:  # count equal ids before pairing them
+                    left, right = Counter(left).items(), Counter(right).items()
+                    weighed = ((x << 32 | y, n * p) for x, n in left for y, p in right)
+                else:
+                    weighed = [(x << 32 | y, 1) for x in left for y in right]
+            for pair, n in weighed:
+                links[pair] = links.get(pair, 0) + n
+        return Segment(len(a), len(b), len(named), ";".join(named), links)
+
+    def segments(self, texts: Iterable[str]) -> dict[str, Segment | None]:
+        """Of distinct parts that start where a group does; None where the tokenizers do not give a part back."""
+        out, missing = {}, []
+        for text in texts:
+            if text in self.new:
+                out[text] = self.new[text]
+            elif text in self.old:
+                out[text] = self._keep(text, self.old[text])
+            else:
+                missing.append(text)
+        # behind a newline a part is tokenised as within a text; the leading ids are the newline's
+        found_a = self.a.encode_batch_fast(missing, add_special_tokens=False)
+        found_b = self.b.encode(["\n" + x for x in missing], num_threads=1)
+        for text, a, b in zip(missing, found_a, found_b, strict=True):
+            out[text] = self._keep(text, self._align(a.ids, b[self.lead :], text.encode()))
+        return out
+
+    def _keep(self, text: str, found: Segment | None) -> Segment | None:
         if len(text) <= CACHE_CHARS:
-            if len(self.kept) >= CACHE_SEGMENTS:
-                self.kept.clear()
-            self.kept[text] = found
+            if len(self.new) >= CACHE_SEGMENTS:
+                self.old, self.new = self.new, {}
+            self.new[text] = found
         return found
 
-    def text(self, text: str | None) -> list[Segment]:
-        """The segments of a text in order; none where it has no tokens."""
-        if not text:
-            return []
-        if self.by_segment and not _OTHER_SPACE.search(text):
-            found = [self.segment(x) for x in _SEGMENT.findall(" " + text)]
-        else:
-            found = [self._align(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode())]
-        return [] if None in found else found
+    def texts(self, texts: list[str | None]) -> list[list[Segment]]:
+        """The segments of each text in order; none where it has no tokens."""
+        cut = [None if not t or not self.by_segment or _OTHER_SPACE.search(t) else segments_of(t) for t in texts]
+        known = self.segments({x for own in cut if own for x in own})
+        out = []
+        for text, own in zip(texts, cut, strict=True):
+            if own is not None:
+                found = [known[x] for x in own]
+            elif text:
+                found = [self._align(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode())]
+            else:
+                found = []
+            out.append([] if None in found else found)
+        return out
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -136,30 +177,39 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _ALIGNERS[path_a, path_b]
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row per linked id pair: pair (a << 32 | b), a, and n, the documents that hold it."""
+_SIZES = ("n_a", "n_b", "n_groups", "n_links")
+_TOTALS = (*_SIZES, "n_best", "count_sum")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, held = aligner(path_a, path_b), Counter()
 
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (held.keys(), held.values())], ["pair", "n"])
-            held.clear()
-            return out
+def aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
+    """One row per document: doc_id, sizes, groups_sha256, the distinct linked pairs with their links and, if asked for, groups."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = aligner(path_a, path_b)
         for part in batches:
-            for text in part.column(0):
-                own: set[int] = set()
-                for segment in set(tool.text(text.as_py())):
-                    own.update(segment.pairs)
-                held.update(own)
-                if len(held) >= TABLE_PAIRS:
-                    yield flushed()
-        if held:
-            yield flushed()
-
-    found = docs.select("text").mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return found.withColumn("a", F.shiftright("pair", 32))
+            for k in range(0, part.num_rows, CHUNK):
+                ids, texts = (c.to_pylist() for c in part.slice(k, CHUNK).columns)
+                out, pairs, links, ends = [], [], [], [0]
+                for key, segments in zip(ids, tool.texts(texts), strict=True):
+                    total = {}
+                    sizes = [0, 0, 0]
+                    for segment, times in Counter(segments).items():
+                        sizes[0] += segment.n_a * times
+                        sizes[1] += segment.n_b * times
+                        sizes[2] += segment.n_groups * times
+                        for pair, n in segment.links.items():
+                            total[pair] = total.get(pair, 0) + n * times
+                    named = ";".join([x.groups for x in segments])
+                    digest = hashlib.sha256(named.encode()).hexdigest() if segments else ""
+                    out.append((key, *sizes, sum(total.values()), digest, named))
+                    pairs += total.keys()
+                    links += total.values()
+                    ends.append(len(pairs))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.string()] * 2, strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (pairs, links)]
+                yield pa.RecordBatch.from_arrays([*columns[:6], *lists, *columns[6:][:with_groups]], ["doc_id", *_SIZES, "groups_sha256", "pairs", "links"] + ["groups"] * with_groups)
+
+    return docs.mapInArrow(rows, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<long>" + ", groups string" * with_groups)
 
 
 def _least_sent(counts: DataFrame, most: int) -> tuple[int, bool]:
@@ -178,10 +228,6 @@ def _least_sent(counts: DataFrame, most: int) -> tuple[int, bool]:
     return least, True
 
 
-_TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in _TOTALS) + ", groups string"
-
-
 def align_corpus(docs: DataFrame, path_a: str, path_b: str, most_sent: int = MOST_SENT, with_groups: bool = False) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, groups.
 
@@ -189,61 +235,46 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str, most_sent: int = MOS
     count_sum adds the pairs' counts over all links.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = scratch(pair_counts(docs, path_a, path_b), "pair-counts")
+    found = aligned(docs.select(F.col("doc_id").cast("long"), "text"), path_a, path_b, with_groups)
+    first = scratch(found.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    counted = scratch(first.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("a", F.shiftright("pair", 32)), "pair-counts")
     best = counted.groupBy("a").agg(F.max("n").alias("best"))
     counts = scratch(counted.join(best, "a").select("pair", "n", (F.col("n") == F.col("best")).alias("is_best")), "pair-best")
+    scratch.drop(counted)
     least, all_sent = _least_sent(counts, most_sent)
-    sent = counts.where(F.col("n") >= least).sort("pair").toArrow() if least < math.inf else pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "is_best": pa.array([], pa.bool_())})
+    sent = counts.where(F.col("n") >= (least if least < math.inf else 2**62)).sort("pair").toArrow()
     shared = spark.sparkContext.broadcast(tuple(sent.column(c).to_numpy() for c in ("pair", "n", "is_best")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, (keys, n, is_best), known = aligner(path_a, path_b), shared.value, {}
-
-        def sums(segment: Segment) -> tuple:
-            """Links, best links and counts of the segment's pairs that were sent, and its other pairs."""
-            pairs, links = np.array(segment.pairs, np.int64), np.array(segment.links, np.int64)
+        keys, n, is_best = shared.value
+        for part in batches:
+            offsets, pairs = part.column("pairs").offsets.to_numpy(), part.column("pairs").values.to_numpy()
+            links = part.column("links").values.to_numpy()
             at = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
             hit = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
-            at, own = at[hit], links[hit]
-            rest = dict(zip(pairs[~hit].tolist(), links[~hit].tolist(), strict=True))
-            return int(links.sum()), int(own[is_best[at]].sum()), int(own @ n[at]), rest
-
-        for part in batches:
-            for k in range(0, part.num_rows, 1024):
-                out, others = [], []
-                for key, text in zip(*(c.to_pylist() for c in part.slice(k, 1024).columns), strict=True):
-                    segments = tool.text(text)
-                    total, rest = [0] * 6, Counter()
-                    for segment, times in Counter(segments).items():
-                        if (own := known.get(segment)) is None:
-                            own = sums(segment)
-                            if len(segment.links) <= CACHE_CHARS:
-                                if len(known) >= CACHE_SEGMENTS:
-                                    known.clear()
-                                known[segment] = own
-                        n_links, n_best, count_sum, more = own
-                        for i, x in enumerate((segment.n_a, segment.n_b, segment.n_groups, n_links, n_best, count_sum)):
-                            total[i] += x * times
-                        for pair, x in more.items():
-                            rest[pair] += x * times
-                    out.append((key, *total, ";".join(x.groups for x in segments)))
-                    others.append([{"pair": p, "links": x} for p, x in rest.items()])
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.string()], strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(others, pa.list_(pa.struct([("pair", pa.int64()), ("links", pa.int64())])))], ["doc_id", *_TOTALS, "groups", "rest"])
-
-    found = docs.mapInArrow(rows, _SCHEMA + ", rest array<struct<pair: long, links: long>>")
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    columns = ["doc_id", *_TOTALS, digest.alias("groups_sha256")] + ["groups"] * with_groups
+            known = at * hit
+            value = np.where(hit, n[known], 0) * links if len(keys) else np.zeros(len(pairs), np.int64)
+            top = np.where(hit & is_best[known], links, 0) if len(keys) else value
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (top, value)]
+            ends = np.concatenate([[0], np.cumsum(~hit)])[offsets].astype(np.int32)
+            rest = [pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(x[offsets[0] : offsets[-1]][~hit[offsets[0] : offsets[-1]]])) for x in (pairs, links)]
+            kept = [part.column(c) for c in (*own, *more)]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sums), *rest], [*own, *more, "n_best", "count_sum", "pairs", "links"])
+
+    own, more = ("row", "doc_id", *_SIZES, "groups_sha256"), ("groups",) * with_groups
+    columns = ["doc_id", *_TOTALS, "groups_sha256", *more]
+    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string" + ", groups string" * with_groups
+    summed = first.select(*own, *more, "pairs", "links").mapInArrow(rows, schema + ", n_best long, count_sum long, pairs array<long>, links array<long>")
     if all_sent:
-        scratch.clear()
-        return found.select(columns)
-    first = scratch(found.select("*", digest.alias("groups_sha256"), F.monotonically_increasing_id().alias("row")).drop(*["groups"] * (not with_groups)), "aligned")
-    links = first.select("row", F.explode("rest").alias("link")).select("row", "link.*")
-    more = links.join(counts.where(F.col("n") < least), "pair").groupBy("row").agg(
+        result = scratch(summed.select(columns), "alignment")
+        scratch.clear(result)
+        return result
+    partly = scratch(summed, "partly-summed")
+    rare = partly.select("row", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("row", "x.pairs", "x.links")
+    left = rare.join(counts.where(F.col("n") < least).withColumnRenamed("pair", "pairs"), "pairs").groupBy("row").agg(
         F.sum(F.when(F.col("is_best"), F.col("links")).otherwise(0)).alias("more_best"), F.sum(F.col("links") * F.col("n")).alias("more_sum"))
-    both = first.drop("rest").join(more, "row", "left").fillna(0, ["more_best", "more_sum"])
+    both = partly.drop("pairs", "links").join(left, "row", "left").fillna(0, ["more_best", "more_sum"])
     both = both.withColumns({"n_best": F.col("n_best") + F.col("more_best"), "count_sum": F.col("count_sum") + F.col("more_sum")})
-    result = scratch(both.select("doc_id", *_TOTALS, "groups_sha256", *["groups"] * with_groups), "alignment")
+    result = scratch(both.select(columns), "alignment")
     scratch.clear(result)
     return result

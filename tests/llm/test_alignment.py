@@ -67,10 +67,15 @@ def test_equals_brute_force(spark, most):
 
 def test_groups():
     """Tokens of equal ends, one across many, and borders that never meet before the end."""
-    import numpy as np
+    for a, b, want in (([1, 2, 3], [1, 2, 3], [(0, 0), (1, 1), (2, 2)]), ([3], [1, 2, 3], [(0, 0)]), ([1, 3, 6], [2, 6], [(0, 0)]), ([2, 4, 6], [1, 4, 5, 6], [(0, 0), (2, 2)])):
+        assert alignment.groups_of(a, b) == want
 
-    for a, b, want in (([1, 2, 3], [1, 2, 3], [[0, 1, 2], [0, 1, 2]]), ([3], [1, 2, 3], [[0], [0]]), ([1, 3, 6], [2, 6], [[0], [0]]), ([2, 4, 6], [1, 4, 5, 6], [[0, 2], [0, 2]])):
-        assert [x.tolist() for x in alignment.groups_of(np.array(a), np.array(b))] == want
+
+def test_segments():
+    """Cut before blanks, newlines and signs behind a letter; the cut parts together are the text."""
+    assert alignment.segments_of("a, b.c\n\n d's x_1 9,") == [" a", ",", " b", ".c", "\n\n d's", " x", "_1", " 9,"]
+    for text in filter(None, ODD):
+        assert "".join(alignment.segments_of(text)) == " " + text
 
 
 def test_empty(spark):
