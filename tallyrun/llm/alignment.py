@@ -28,7 +28,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,14 @@ from .storage import Scratch
 MOST_SENT = 1_000_000
 CACHE_SEGMENTS, CACHE_CHARS = 150_000, 64
 """A worker keeps the segments of at most so many characters in two halves of so many; a full half replaces the older one."""
+MOST_LISTED = 64
+"""Links of a group that are listed one by one; where there are more, equal ids are counted first."""
 CHUNK = 256
 """Documents whose new segments are tokenised together."""
 
-_CUT = r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-/:-@\[-`{-~])"
-_SEGMENT = re.compile(rf"[ \n]+|{_CUT}")
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_JOINED = re.compile(f"[{_LETTER}][{_SIGN}]")
+_SEGMENT = re.compile(rf"[ \n]*(?:[^ \n{_LETTER}]+|[{_LETTER}]+(?![{_SIGN}]))*[{_LETTER}]?")
 _OTHER_SPACE = re.compile(r"[^\S \n]|\u180e")
 
 
@@ -57,9 +60,7 @@ def byte_level() -> dict[str, int]:
 
 def segments_of(text: str) -> list[str]:
     """Blank + text, cut before runs of blanks and newlines and before signs behind a letter."""
-    text = " " + text
-    cuts = [m.start() for m in _SEGMENT.finditer(text)]
-    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+    return _SEGMENT.findall(" " + text)[:-1]  # the last match is the empty one at the end
 
 
 def groups_of(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int]]:
@@ -75,13 +76,14 @@ def groups_of(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, i
 
 @dataclass(slots=True, eq=False)
 class Segment:
-    """Its number of tokens and groups, the groups as text, and its distinct linked pairs (a << 32 | b) with their number of links."""
+    """Its number of tokens and groups, the groups as text, its linked pairs (a << 32 | b) and how often each stands for a link, where not once."""
 
     n_a: int
     n_b: int
     n_groups: int
     groups: str
-    links: dict[int, int]
+    pairs: list[int]
+    times: list[int] | None = None
 
 
 class Aligner:
@@ -98,34 +100,63 @@ class Aligner:
         self.bytes_a = {k: bytes(map(table.__getitem__, x)) for x, k in self.a.get_vocab().items() if all(c in table for c in x)}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = np.zeros(1 + max(self.bytes_a), np.int64), np.array([len(x) for x in self.bytes_b], np.int64)
+        self.sizes_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
         own = [x for k, x in enumerate(pieces) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
-        self.by_segment = not any("▁" in x.lstrip("▁") or "\n" in x or re.search(_CUT, x) for x in own)
+        self.by_segment = not any("▁" in x.lstrip("▁") or "\n" in x or _JOINED.search(x) for x in own)
         self.lead = len(self.b.encode("\n"))
         self.new: dict[str, Segment | None] = {}
         self.old: dict[str, Segment | None] = {}
 
     def _align(self, a: list[int], b: list[int], raw: bytes) -> Segment | None:
+        """One part; equal ids of a group are counted before they are paired."""
         own_a, own_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
         if b"".join(own_a) != raw or b"".join(own_b) != raw:
             return None
         starts = groups_of(list(accumulate(map(len, own_a))), list(accumulate(map(len, own_b))))
-        links: dict[int, int] = {}
-        named = []
+        links, named = Counter(), []
         for (i, k), (j, m) in zip(starts, [*starts[1:], (len(a), len(b))], strict=True):
-            left, right = a[i:j], b[k:m]
-            if j - i == m - k == 1:
-                named.append(f"{a[i]}|{b[k]}")
-                weighed = ((a[i] << 32 | b[k], 1),)
-            else:
-                named.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                if len(left) * len(right) > 64:  # count equal ids before pairing them
-                    left, right = Counter(left).items(), Counter(right).items()
-                    weighed = ((x << 32 | y, n * p) for x, n in left for y, p in right)
-                else:
-                    weighed = [(x << 32 | y, 1) for x in left for y in right]
-            for pair, n in weighed:
-                links[pair] = links.get(pair, 0) + n
-        return Segment(len(a), len(b), len(named), ";".join(named), links)
+            named.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
+            right = Counter(b[k:m]).items()
+            for x, n in Counter(a[i:j]).items():
+                for y, p in right:
+                    links[x << 32 | y] += n * p
+        return Segment(len(a), len(b), len(named), ";".join(named), list(links), list(links.values()))
+
+    def _align_all(self, texts: list[str], found_a: list[list[int]], found_b: list[list[int]]) -> list[Segment | None]:
+        """Many short parts as one run of bytes, in which each part's end is an end of both tokenizers' tokens."""
+        raws = [x.encode() for x in texts]
+        flat = [list(chain.from_iterable(x)) for x in (found_a, found_b)]
+        whole, odd = b"".join(raws), False
+        for ids, table in zip(flat, (self.bytes_a, self.bytes_b), strict=True):
+            odd |= b"".join([table[k] for k in ids]) != whole
+        if odd or not texts:
+            return [self._align(*x) for x in zip(found_a, found_b, raws, strict=True)]
+        a, b = (np.array(x, np.int64) for x in flat)
+        a_ends, b_ends = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        last, after = np.searchsorted(b_ends, a_ends, "left"), np.searchsorted(b_ends, a_ends, "right")
+        last_a = np.flatnonzero(last < after)  # the A tokens behind which a group ends
+        last_b = last[last_a]
+        first_a, first_b = (np.concatenate([[0], x[:-1] + 1]) for x in (last_a, last_b))
+        n_a, n_b = last_a - first_a + 1, last_b - first_b + 1
+        bounds = [np.concatenate([[0], np.cumsum([len(x) for x in found])]) for found in (found_a, found_b)]
+        own = np.searchsorted(first_a, bounds[0])  # the first group of each part, and one more
+        large = np.flatnonzero(n_a * n_b > MOST_LISTED)
+        weight = np.where(n_a * n_b > MOST_LISTED, 0, n_a * n_b)
+        ends = np.concatenate([[0], np.cumsum(weight)])
+        group = np.repeat(np.arange(len(weight)), weight)
+        within = np.arange(ends[-1]) - ends[group]
+        pairs = (a[first_a[group] + within // n_b[group]] << 32 | b[first_b[group] + within % n_b[group]]).tolist()
+        left, right = flat
+        named = [f"{left[i]}|{right[k]}" if n == m == 1 else f"{','.join(map(str, left[i:i + n]))}|{','.join(map(str, right[k:k + m]))}" for i, k, n, m in zip(first_a.tolist(), first_b.tolist(), n_a.tolist(), n_b.tolist(), strict=True)]
+        at, cut = own.tolist(), ends[own].tolist()
+        out: list[Segment | None] = [
+            Segment(len(x), len(y), h - g, ";".join(named[g:h]), pairs[p:q])
+            for x, y, g, h, p, q in zip(found_a, found_b, at[:-1], at[1:], cut[:-1], cut[1:], strict=True)
+        ]
+        for k in np.unique(np.searchsorted(own, large, "right") - 1).tolist():
+            out[k] = self._align(found_a[k], found_b[k], raws[k])
+        return out
 
     def segments(self, texts: Iterable[str]) -> dict[str, Segment | None]:
         """Of distinct parts that start where a group does; None where the tokenizers do not give a part back."""
@@ -140,8 +171,8 @@ class Aligner:
         # behind a newline a part is tokenised as within a text; the leading ids are the newline's
         found_a = self.a.encode_batch_fast(missing, add_special_tokens=False)
         found_b = self.b.encode(["\n" + x for x in missing], num_threads=1)
-        for text, a, b in zip(missing, found_a, found_b, strict=True):
-            out[text] = self._keep(text, self._align(a.ids, b[self.lead :], text.encode()))
+        for text, found in zip(missing, self._align_all(missing, [x.ids for x in found_a], [x[self.lead :] for x in found_b]), strict=True):
+            out[text] = self._keep(text, found)
         return out
 
     def _keep(self, text: str, found: Segment | None) -> Segment | None:
@@ -197,8 +228,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False
                         sizes[0] += segment.n_a * times
                         sizes[1] += segment.n_b * times
                         sizes[2] += segment.n_groups * times
-                        for pair, n in segment.links.items():
-                            total[pair] = total.get(pair, 0) + n * times
+                        if segment.times is None:
+                            for pair in segment.pairs:
+                                total[pair] = total.get(pair, 0) + times
+                        else:
+                            for pair, n in zip(segment.pairs, segment.times, strict=True):
+                                total[pair] = total.get(pair, 0) + n * times
                     named = ";".join([x.groups for x in segments])
                     digest = hashlib.sha256(named.encode()).hexdigest() if segments else ""
                     out.append((key, *sizes, sum(total.values()), digest, named))
