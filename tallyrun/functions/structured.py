@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .urls import safe_normalize_url
+from .variants import objects
 
 MOST_LOCATIONS = 25
 """A longer list of places names none, as the contract says."""
@@ -30,20 +31,15 @@ def _items(raw: Column) -> Column:
     return F.when(raw.isNull(), F.array().cast("array<string>")).when(F.ltrim(raw).startswith("["), F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(raw))
 
 
-def _flat(nodes: Column) -> Column:
-    """Nodes with the members of their ``@graph`` beside them."""
-    return F.flatten(F.transform(nodes, lambda n: F.concat(F.array(n), _items(F.get_json_object(n, "$['@graph']")))))
-
-
 def json_ld_nodes(html: Column) -> Column:
-    """All top-level objects of a page's JSON-LD and the members of their graphs, as JSON texts."""
-    return _flat(F.flatten(F.transform(json_ld_scripts(html), _items)))
+    """All objects of a page's JSON-LD at any depth down to the bound, graphs and lists included, as JSON texts in the order of a walk."""
+    return F.flatten(F.transform(json_ld_scripts(html), lambda s: F.transform(objects(F.try_parse_json(s)), lambda n: F.to_json(n["value"]))))
 
 
 def of_type(nodes: Column, kind: str) -> Column:
-    """The nodes whose ``@type`` is or holds ``kind``."""
-    types = lambda n: _items(F.get_json_object(n, "$['@type']"))
-    return F.filter(nodes, lambda n: F.array_contains(types(n), kind))
+    """The nodes whose ``@type`` is or holds ``kind``, in any case."""
+    types = lambda n: _items(F.lower(F.get_json_object(n, "$['@type']")))
+    return F.filter(nodes, lambda n: F.array_contains(types(n), kind.lower()))
 
 
 def _text(raw: Column, *paths: str) -> Column:
@@ -75,6 +71,12 @@ def job_postings(html: Column, page_url: Column) -> Column:
     return F.filter(rows, lambda r: r["title"].isNotNull() & r["url"].isNotNull())
 
 
+def organization_websites(html: Column) -> Column:
+    """The distinct sound urls of a page's JSON-LD organizations (``url``, else ``sameAs``), in order."""
+    sites = F.transform(of_type(json_ld_nodes(html), "Organization"), lambda n: safe_normalize_url(F.coalesce(_text(n, "url"), _text(n, "sameAs[0]"), _text(n, "sameAs"))))
+    return F.array_distinct(F.filter(sites, lambda u: u.isNotNull()))
+
+
 def organization_names(html: Column) -> Column:
     """Names and legal names of a page's JSON-LD organizations, in order."""
     names = F.transform(of_type(json_ld_nodes(html), "Organization"), lambda n: F.array(_text(n, "name"), _text(n, "legalName")))

@@ -6,7 +6,7 @@ All of them return null for null, and treat text without a scheme as said per fu
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -31,6 +31,11 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def scheme_of(url: Column) -> Column:
     return F.lower(_part(url, 1))
 
@@ -156,7 +161,7 @@ def resolve_url(url: Column, base: Column) -> Column:
         .when(url.rlike(r"^[?#]") | (url == ""), F.concat(root, path_of(base), F.when(url.startswith("#") & (query_of(base) != ""), F.concat(F.lit("?"), query_of(base))).otherwise(""), url))
         .otherwise(F.concat(root, path))
     )
-    return F.concat(_without_dots(F.regexp_extract(joined, r"^[^?#]*", 0)), F.regexp_extract(joined, r"[?#].*$", 0))
+    return let(joined, lambda u: F.concat(_without_dots(F.regexp_extract(u, r"^[^?#]*", 0)), F.regexp_extract(u, r"[?#].*$", 0)))
 
 
 def _without_dots(url: Column) -> Column:
@@ -175,13 +180,12 @@ def normalize_url(url: Column, base: Column | None = None) -> Column:
     """Resolved against ``base``, https where no scheme is given, without tracking parameters (case-sensitive) and fragment."""
     url = F.trim(url)
     full = resolve_url(url, base) if base is not None else F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url).otherwise(F.concat(F.lit("https://"), F.ltrim(F.regexp_replace(url, "^//", ""))))
-    return F.concat(scheme_of(full), F.lit("://"), authority_of(full), path_of(full), _joined(without_tracking(query_params(full), False)))
+    return let(full, lambda u: F.concat(scheme_of(u), F.lit("://"), authority_of(u), path_of(u), _joined(without_tracking(query_params(u), False))))
 
 
 def safe_normalize_url(url: Column, base: Column | None = None) -> Column:
     """As ``normalize_url``; null unless the result is http(s) with a host."""
-    out = normalize_url(url, base)
-    return F.when(out.rlike(r"^https?://[^/?#\s]+"), out)
+    return let(normalize_url(url, base), lambda u: F.when(u.rlike(r"^https?://[^/?#\s]+"), u))
 
 
 def compare_key(url: Column) -> Column:

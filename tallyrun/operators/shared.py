@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """A row per element that is not null.
+
+    A plain explode would have the optimizer test the array for emptiness further down, where it is worked out once more for the test.
+    """
+    return df.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_queries, function_queries, identity_queries, matching_queries, ordered_queries, store_queries, stream_queries, summary_queries
+from . import board_queries, file_queries, function_queries, identity_queries, matching_queries, ordered_queries, store_queries, stream_queries, summary_queries
 
-_MODULES = (summary_queries, ordered_queries, matching_queries, store_queries, function_queries, file_queries, identity_queries, stream_queries)
+_MODULES = (summary_queries, ordered_queries, matching_queries, store_queries, function_queries, file_queries, identity_queries, stream_queries, board_queries)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "agg03_stage_funnel"
