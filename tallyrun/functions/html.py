@@ -11,7 +11,7 @@ MOST_LINKS = 200
 
 def hrefs(html: Column, most: int = MOST_LINKS) -> Column:
     """The distinct link targets in order of first sight, in any quotes or none."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
     return F.slice(F.array_distinct(F.transform(found, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))), 1, most)
 
 
