@@ -26,15 +26,17 @@ import os
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate, chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import fast_words
 from .storage import Scratch
 
 MOST_SENT = 1_000_000
@@ -86,6 +88,9 @@ class Segment:
     times: list[int] | None = None
 
 
+_N_A, _N_B, _N_GROUPS, _GROUPS, _PAIRS, _TIMES = map(attrgetter, ("n_a", "n_b", "n_groups", "groups", "pairs", "times"))
+
+
 class Aligner:
     """Both tokenizers and the segments aligned so far."""
 
@@ -95,7 +100,7 @@ class Aligner:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        self.a.encode_special_tokens, self.fast = True, fast_words(path_a)
         table = byte_level()
         self.bytes_a = {k: bytes(map(table.__getitem__, x)) for x, k in self.a.get_vocab().items() if all(c in table for c in x)}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
@@ -158,43 +163,44 @@ class Aligner:
             out[k] = self._align(found_a[k], found_b[k], raws[k])
         return out
 
-    def segments(self, texts: Iterable[str]) -> dict[str, Segment | None]:
-        """Of distinct parts that start where a group does; None where the tokenizers do not give a part back."""
-        out, missing = {}, []
-        for text in texts:
-            if text in self.new:
-                out[text] = self.new[text]
-            elif text in self.old:
-                out[text] = self._keep(text, self.old[text])
-            else:
-                missing.append(text)
-        # behind a newline a part is tokenised as within a text; the leading ids are the newline's
-        found_a = self.a.encode_batch_fast(missing, add_special_tokens=False)
-        found_b = self.b.encode(["\n" + x for x in missing], num_threads=1)
-        for text, found in zip(missing, self._align_all(missing, [x.ids for x in found_a], [x[self.lead :] for x in found_b]), strict=True):
-            out[text] = self._keep(text, found)
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        """A's ids; of Latin parts by the same vocabulary's rank file, where one lies beside it."""
+        if self.fast is None:
+            return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [self.fast(x) if x.isascii() or max(x) < "\u0250" else None for x in texts]
+        other = [k for k, x in enumerate(out) if x is None]
+        for k, found in zip(other, self.a.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = found.ids
         return out
 
-    def _keep(self, text: str, found: Segment | None) -> Segment | None:
-        if len(text) <= CACHE_CHARS:
-            if len(self.new) >= CACHE_SEGMENTS:
-                self.old, self.new = self.new, {}
-            self.new[text] = found
-        return found
+    def _learn(self, texts: set[str]) -> list[str]:
+        """Have ``new`` hold these distinct parts, each of which starts where a group does; returns those that are too long to stay."""
+        if len(self.new) >= CACHE_SEGMENTS:
+            self.old, self.new = self.new, {}
+        missing = texts - self.new.keys()
+        again = missing & self.old.keys()
+        self.new.update((x, self.old[x]) for x in again)
+        rest = list(missing - again)
+        # behind a newline a part is tokenised as within a text; the leading ids are the newline's
+        found_b = self.b.encode(["\n" + x for x in rest], num_threads=1)
+        self.new.update(zip(rest, self._align_all(rest, self._ids_a(rest), [x[self.lead :] for x in found_b]), strict=True))
+        return [x for x in rest if len(x) > CACHE_CHARS]
 
     def texts(self, texts: list[str | None]) -> list[list[Segment]]:
         """The segments of each text in order; none where it has no tokens."""
         cut = [None if not t or not self.by_segment or _OTHER_SPACE.search(t) else segments_of(t) for t in texts]
-        known = self.segments({x for own in cut if own for x in own})
-        out = []
+        long = self._learn(set(chain.from_iterable(filter(None, cut))))
+        known, out = self.new.__getitem__, []
         for text, own in zip(texts, cut, strict=True):
             if own is not None:
-                found = [known[x] for x in own]
+                found = list(map(known, own))
             elif text:
                 found = [self._align(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode())]
             else:
                 found = []
             out.append([] if None in found else found)
+        for x in long:
+            del self.new[x]
         return out
 
 
@@ -222,19 +228,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False
                 ids, texts = (c.to_pylist() for c in part.slice(k, CHUNK).columns)
                 out, pairs, links, ends = [], [], [], [0]
                 for key, segments in zip(ids, tool.texts(texts), strict=True):
-                    total = {}
-                    sizes = [0, 0, 0]
-                    for segment, times in Counter(segments).items():
-                        sizes[0] += segment.n_a * times
-                        sizes[1] += segment.n_b * times
-                        sizes[2] += segment.n_groups * times
-                        if segment.times is None:
-                            for pair in segment.pairs:
-                                total[pair] = total.get(pair, 0) + times
-                        else:
-                            for pair, n in zip(segment.pairs, segment.times, strict=True):
-                                total[pair] = total.get(pair, 0) + n * times
-                    named = ";".join([x.groups for x in segments])
+                    sizes = [sum(map(of, segments)) for of in (_N_A, _N_B, _N_GROUPS)]
+                    total = Counter(chain.from_iterable(map(_PAIRS, segments)))
+                    for segment in filter(_TIMES, segments):
+                        for pair, n in zip(segment.pairs, segment.times, strict=True):
+                            total[pair] += n - 1
+                    named = ";".join(map(_GROUPS, segments))
                     digest = hashlib.sha256(named.encode()).hexdigest() if segments else ""
                     out.append((key, *sizes, sum(total.values()), digest, named))
                     pairs += total.keys()
