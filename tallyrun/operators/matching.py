@@ -167,11 +167,19 @@ def compatible(a: str, b: str, fields: Sequence[str]) -> Column:
 
 
 def expectation_failures(checks: Mapping[str, tuple[Column, Column]]) -> Column:
-    """Names of checks whose expected value is given and differs from the actual one, in order.  An expected array is a set of aliases."""
+    """Names of checks whose expected value is given and differs from the actual one, in order."""
     tests = [F.when(exp.isNotNull() & ~F.coalesce(exp == act, F.lit(False)), name) for name, (exp, act) in checks.items()]
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
+def alias_failures(rows: DataFrame, checks: Mapping[str, tuple[str, str]], name: str = "failures") -> DataFrame:
+    """The rows with the names of failed checks; an expected column that is an array holds all values that count as right, its nulls none."""
+    kinds = dict(rows.dtypes)
+    same = lambda e, a: F.array_contains(F.array_compact(F.col(e)), F.col(a)) if kinds[e].startswith("array<") else F.col(e) == F.col(a)
+    tests = [F.when(F.col(e).isNotNull() & ~F.coalesce(same(e, a), F.lit(False)), c) for c, (e, a) in checks.items()]
+    return rows.withColumn(name, F.filter(F.array(*tests), lambda x: x.isNotNull()))
+
+
 def identity_chain(row: Mapping[str, Column]) -> Column:
     """Failure codes of an identity chain in fixed order; empty when the chain holds or there is no opening at all.
 

@@ -54,16 +54,37 @@ def sound_inputs(rows: DataFrame) -> DataFrame:
     return found.drop("problem")
 
 
+def _unquoted(line: Column) -> Column:
+    """A JSON text without its whole strings; what follows a quote is an open string."""
+    return F.regexp_replace(F.regexp_replace(line, r"\\.", ""), r'"[^"]*"', "")
+
+
+def _depth(line: Column) -> Column:
+    """How many brackets are open at the end."""
+    outside = F.regexp_replace(_unquoted(line), r'(?s)".*$', "")
+    return F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+
+
+def completable(line: Column) -> Column:
+    """Whether a text that is no JSON could become an object by adding to its end: it starts one, and a string or a bracket is still open."""
+    return F.ltrim(line).startswith("{") & (_unquoted(line).contains('"') | (_depth(line) > 0))
+
+
+def _trailing(line: Column) -> Column:
+    """Whether something follows the first value, which the JSON reader itself would pass over."""
+    return (_depth(line) != 0) | ~F.rtrim(line).endswith("}") | _unquoted(line).rlike(r"\}\s*\{")
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Rows of JSON lines.  A file's last line may be cut off, if no line break follows; any other broken or blank line raises."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})).withColumn("broken", F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | (F.trim("value") == ""))
+    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})).withColumn("broken", F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | _trailing(F.col("value")))
     place = F.struct("block", "at")
     files = parsed.groupBy("file").agg(
         F.count_if("broken").alias("broken"), F.max(place).alias("last"), F.max(F.when(F.col("broken"), place)).alias("last_broken"),
         (F.sum(F.octet_length("value") + 1) == F.max("size") + 1).alias("open_end"), F.max_by("value", place).alias("tail"),
     )
-    torn = (F.col("broken") == 1) & (F.col("last") == F.col("last_broken")) & F.col("open_end") & ~F.rtrim("tail").endswith("}")
+    torn = (F.col("broken") == 1) & (F.col("last") == F.col("last_broken")) & F.col("open_end") & completable(F.col("tail"))
     bad = files.filter((F.col("broken") > 0) & ~torn).select(F.sum("broken")).first()[0]
     if bad:
         raise BadInput(f"{bad} broken lines")

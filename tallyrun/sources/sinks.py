@@ -17,23 +17,12 @@ def csv_lines(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, columns: Sequence[str], path: str) -> None:
-    """CSV part files with a byte-order mark, a header and CRLF line ends each, replaced as a whole by the commit protocol."""
-    head = "﻿" + ",".join(columns) + "\r\n"
-    lines = csv_lines(rows, columns).withColumn("_p", F.spark_partition_id())
-    body = lines.mapInPandas(lambda parts: _headed(parts, head), "value string")
-    body.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    """CSV in part files with CRLF line ends, replaced as a whole by the commit protocol.
 
-
-def _headed(parts, head: str):
-    import pandas as pd
-
-    first = True
-    for part in parts:
-        lines = part["line"]
-        if first and len(lines):
-            lines = pd.concat([pd.Series([head.rstrip("\r\n")]), lines])
-            first = False
-        yield pd.DataFrame({"value": lines})
+    The first part holds the byte-order mark and the header alone, so the parts joined in the order of their names are one CSV, for an empty table too.
+    """
+    head = rows.sparkSession.range(0, 1, 1, 1).select(F.lit("\ufeff" + ",".join(columns)).alias("line"))
+    head.unionByName(csv_lines(rows, columns)).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def markdown_table(title: str, columns: Sequence[str], rows: Sequence[Sequence]) -> str:

@@ -56,8 +56,12 @@ def test_sinks(spark, tmp_path):
     assert [r[0] for r in sinks.csv_lines(df.orderBy("k"), ["k", "v"]).collect()] == ['1,"\'=a""b"', '2,"x,y"', "3,", "4,' -1"]
     path = f"file://{tmp_path}/out"
     sinks.write_csv(df.coalesce(1), ["k", "v"], path)
-    text = next((tmp_path / "out").glob("part-*")).read_bytes()
-    assert text.startswith(b"\xef\xbb\xbfk,v\r\n1,") and text.endswith(b"\r\n") and text.count(b"\r\n") == 5
+    joined = lambda: b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert joined().startswith(b"\xef\xbb\xbfk,v\r\n1,") and joined().endswith(b"\r\n") and joined().count(b"\r\n") == 5
+    sinks.write_csv(df.repartition(3), ["k", "v"], path)
+    assert joined().count(b"\xef\xbb\xbf") == 1 and joined().startswith(b"\xef\xbb\xbfk,v\r\n") and len(joined().splitlines()) == 5
+    sinks.write_csv(df.limit(0), ["k", "v"], path)
+    assert joined() == b"\xef\xbb\xbfk,v\r\n"
     report = sinks.markdown_report("Run", {"Counts": df.groupBy("v").agg(F.count("*").alias("n"))}, 2)
     assert report.startswith("# Run\n") and "| v | n |" in report and "Only the first 2" in report
     assert sinks.publish(df, path + "2", "require-identical") and not sinks.publish(df, path + "2", "require-identical")
@@ -88,3 +92,23 @@ def test_search_results(spark):
     hits = json.dumps({"results": [{"url": "https://a", "title": "A", "content": "x"}, {"url": " "}, {"url": "https://b"}]})
     df = spark.createDataFrame([(rss, hits)], "rss string, hits string").select(X.feed_items(F.col("rss")).alias("f"), X.search_hits(F.col("hits")).alias("h")).first()
     assert [tuple(x) for x in df["f"]] == [("https://a", "A & B", "x")] and [tuple(x) for x in df["h"]] == [("https://a", "A", "x"), ("https://b", "", "")]
+
+
+def test_torn_lines(spark, tmp_path):
+    """A tail that could still be completed is left out, whatever its last character; other broken tails raise."""
+    for k, (tail, good) in enumerate([('{"a":2,"b":{"c":2}', True), ('{"a":', True), ('{"a":2,"t":"x', True), ('{"a":2,"t":"x\\"}', True), ('{"a":2}}', False), ('{"a":2} x', False), ('{"a":2} {"a":3}', False), ('{"a" 2}', False), ("nonsense", False)]):
+        path = put(tmp_path, f"torn{k}.jsonl", '{"a":1,"t":"}"}\n' + tail)
+        read = lambda p=path: [r["a"] for r in files.read_json_lines(spark, p, "a int, t string").collect()]
+        if good:
+            assert read() == [1]
+        else:
+            with pytest.raises(files.BadInput):
+                read()
+
+
+def test_alias_sets(spark):
+    from tallyrun.operators import matching
+
+    rows = spark.createDataFrame([(1, ["a", None, "b"], "b", "x", "x"), (2, ["a"], "b", None, "x"), (3, None, "b", "x", None), (4, [], "b", "x", "y")], "k int, es array<string>, v string, e string, w string")
+    got = matching.alias_failures(rows, {"board": ("es", "v"), "site": ("e", "w")}).orderBy("k").collect()
+    assert [list(r["failures"]) for r in got] == [[], ["board"], ["site"], ["board", "site"]]
