@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import continuity as C
+from ..operators.causes import classify_causes
 from .tables import table
 
 
@@ -47,9 +48,46 @@ def joi22_employer_matches(spark: SparkSession, d: str) -> DataFrame:
     return C.employer_matches(companies, "p_partkey", "name", employers, "employer", "title", "terms")
 
 
-QUERIES = {f.__name__: f for f in (cmp05_continuity_issues, cmp07_measurement_gate, joi22_employer_matches)}
+def _traced() -> Column:
+    """An order as a record with a trace as JSON text; its cause follows from its key."""
+    key, priority = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    forms = [
+        F.concat(F.lit('{"error_code":"FETCH_BUDGET_EXHAUSTED","stages":[{"stage":"s'), F.col("o_orderstatus"), F.lit('","status":"partial"}]}')),
+        F.concat(F.lit('{"trace":{"stages":{"job_board_discovery":{"candidate_verification":{"x":{"rejected_candidates":[{"reason":"'), priority, F.lit('"},{"reason":"z"}]}}}}}}')),
+        F.concat(F.lit('{"trace":{"stages":{"job_board_discovery":{"candidate_discovery":{"sources":[{"source":"web","trace":{"search":{"candidates":[],"queries":[{"result_count":'), (F.col("o_orderkey") % 2).cast("string"), F.lit("}]}}}]}}}}}")),
+        F.concat(F.lit('{"error_code":"OPENING_DISCOVERY_INCOMPLETE","trace":{"stages":{"opening_match":{"generic_inventory":[{"candidate_count":'), (F.col("o_orderkey") % 4).cast("string"), F.lit(',"stop_reason":"'), F.col("o_orderstatus"), F.lit('"}]}}}}')),
+        F.concat(F.lit('{"open_position_url":"https://a.com/'), key, F.lit('"}')), F.concat(F.lit('{"identity_assertion":{"failure_codes":["'), F.col("o_orderstatus"), F.lit('","A"]}}')), F.lit('{"trace":'),
+    ]
+    return F.element_at(F.array(*forms), (F.col("o_orderkey") % 7 + 1).cast("int"))
+
+
+def agg27_causes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", F.try_parse_json(_traced()).alias("record"))
+    return classify_causes(rows, "record").select("o_orderkey", "outcome", "category", "trigger", "code_path", "confidence")
+
+
+def agg26_cause_signatures(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_custkey", F.try_parse_json(_traced()).alias("record"))
+    found = classify_causes(rows, "record").where("outcome = 'unresolved'").select("o_custkey", "signature").groupBy("o_custkey", "signature").agg(F.count("*").alias("n"))
+    return found.groupBy("signature").agg(F.sum("n").alias("records"), F.count("*").alias("companies"))
+
+
+QUERIES = {f.__name__: f for f in (cmp05_continuity_issues, cmp07_measurement_gate, joi22_employer_matches, agg27_causes, agg26_cause_signatures)}
+
+_CAUSES = """
+select o_orderkey, o_custkey, case k when 4 then 'exact' else 'unresolved' end as outcome,
+  case when k = 0 then 'budget_starvation' when k in (1, 5) then 'candidate_identity_rejected' when k = 2 or (k = 3 and o_orderkey % 4 > 0) then 'correct_candidate_not_produced' when k = 4 then 'terminal' else 'unclassified' end as category,
+  case k when 0 then 'FETCH_BUDGET_EXHAUSTED' when 1 then o_orderpriority || '+z' when 2 then case when o_orderkey % 2 = 1 then 'search_results_filtered_to_zero' else 'executed_search_produced_no_results' end
+    when 3 then case when o_orderkey % 4 > 0 then 'generic_partial_inventory_' else 'opening_inventory_incomplete_' end || o_orderstatus when 4 then 'exact' when 5 then 'A+' || o_orderstatus else 'insufficient_causal_evidence' end as trigger,
+  case k when 0 then 's' || o_orderstatus || '.budget_controller' when 1 then 'job_board_discovery.provider_candidate_verification' when 2 then 'job_board_discovery.provider_search_discovery'
+    when 3 then case when o_orderkey % 4 > 0 then 'opening_match.generic_inventory_completeness' else 'opening_match.inventory_discovery' end when 4 then 'terminal_evidence'
+    when 5 then 'website_resolution.company_identity_gate' else 'pipeline.unknown' end as code_path,
+  case when k = 6 or (k = 3 and o_orderkey % 4 = 0) then 'insufficient' else 'high' end as confidence from (select *, o_orderkey % 7 as k from orders)"""
 
 ORACLES = {
+    "agg27_causes": f"select * exclude (o_custkey) from ({_CAUSES})",
+    "agg26_cause_signatures": f"""
+select category || '|' || trigger || '|' || code_path as signature, count(*) as records, count(distinct o_custkey) as companies from ({_CAUSES}) where category <> 'terminal' group by 1""",
     "cmp05_continuity_issues": """
 select o_orderkey, list_sort(list_filter([case when o_orderstatus = 'F' then 'pipeline_not_success' end, case when k % 23 = 7 then 'identity_assertion_missing' end,
   case when k % 23 <> 7 and k % 5 = 1 then 'hiring_relationship_unverified' end, case when k % 23 <> 7 and k % 7 = 2 then 'opening_identity_missing' end,
