@@ -11,7 +11,10 @@ from ..sources import boards
 from .tables import table
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-_BOARD = F.concat(F.lit("https://jobs.example.com/b"), F.col("l_suppkey"))
+
+
+def _board() -> Column:
+    return F.concat(F.lit("https://jobs.example.com/b"), F.col("l_suppkey"))
 
 
 def _items() -> Column:
@@ -21,8 +24,8 @@ def _items() -> Column:
     town = F.concat(F.lit("Town "), "l_linestatus")
     forms = [
         F.struct(title.alias("title"), F.concat(F.lit("/job/"), key).alias("externalPath"), town.alias("locationsText")),
-        F.struct(title.alias("title"), F.concat(_BOARD, F.lit("/"), key).alias("absolute_url"), F.struct(town.alias("name")).alias("location")),
-        F.struct(title.alias("text"), F.concat(_BOARD, F.lit("/"), key).alias("hostedUrl"), F.struct(town.alias("location")).alias("categories")),
+        F.struct(title.alias("title"), F.concat(_board(), F.lit("/"), key).alias("absolute_url"), F.struct(town.alias("name")).alias("location")),
+        F.struct(title.alias("text"), F.concat(_board(), F.lit("/"), key).alias("hostedUrl"), F.struct(town.alias("location")).alias("categories")),
         F.struct(title.alias("name"), key.alias("id"), F.struct(town.alias("city")).alias("location")),
     ]
     return F.element_at(F.array(*map(F.to_json, forms)), (F.col("l_suppkey") % 4 + 1).cast("int"))
@@ -43,7 +46,7 @@ def captured_boards(spark: SparkSession, d: str) -> DataFrame:
     body = F.element_at(F.array(*bodies), (F.col("l_suppkey") % 4 + 1).cast("int"))
     name = F.element_at(F.array(*map(F.lit, ("workday", "greenhouse", "lever", "smartrecruiters"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
     broken = ~whole & (F.col("l_suppkey") % 7 == 2) & (F.col("page") == 1)
-    made = pages.where(~lost).select(F.col("l_suppkey").alias("board"), name.alias("provider"), "page", _BOARD.alias("board_url"), F.when(broken, F.substring(body, 1, 40)).otherwise(body).alias("body"))
+    made = pages.where(~lost).select(F.col("l_suppkey").alias("board"), name.alias("provider"), "page", _board().alias("board_url"), F.when(broken, F.substring(body, 1, 40)).otherwise(body).alias("body"))
     path = new_path(spark, "boards")
     made.write.parquet(path)
     return spark.read.schema(made.schema).parquet(path)
