@@ -78,6 +78,8 @@ def run_digests(rows: DataFrame, run: str) -> DataFrame:
 def archive_runs(rows: DataFrame, run: str, path: str, writer: str) -> DataFrame:
     """Append the runs whose content the archive does not hold yet, and return run, digest and added of all given runs.
 
+    A run's name is no part of its content: of runs with equal rows one is held.
+
     The archive is a Parquet table partitioned by digest and writer and is only ever appended to.  Two writers that add the same content at
     a time both commit; ``archived`` then reads the first writer's copy, which equals the other.
     """

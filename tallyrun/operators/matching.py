@@ -59,7 +59,7 @@ SHORT_BLOCK = 500
 
 
 def mentions(texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, words: int = 4) -> DataFrame:
-    """Pairs (text, passage) where the text contains the passage, without a nested loop.
+    """Pairs (text, passage) where the text contains the passage, each pair of ids once, null ids included.
 
     The inner words of a passage (all but the first and last, at most ``words``) must stand in a row in the text, so texts and passages meet
     on a hash of such a run, one length at a time, and ``contains`` decides.  The hashes are broadcast only where there are few.
@@ -78,12 +78,13 @@ def mentions(texts: DataFrame, text_id: str, text: str, passages: DataFrame, pas
         inner = p.filter(F.col("_n") == n).withColumn("_h", F.xxhash64(F.slice("_w", 2, n))).select(passage_id, "_p", "_h")
         keys = inner.select(passage_id, "_h")
         seeds = t.select(text_id, F.explode(hashed).alias("_h")).join(F.broadcast(keys) if sizes[n] <= MOST_SENT else keys, "_h").select(text_id, passage_id).distinct()
-        pairs = seeds.join(t, text_id).join(inner.drop("_h"), passage_id).filter(F.contains("_t", "_p")).select(text_id, passage_id)
+        both = seeds.join(t.withColumnRenamed(text_id, "_i"), F.col(text_id).eqNullSafe(F.col("_i"))).join(inner.select(F.col(passage_id).alias("_k"), "_p"), F.col(passage_id).eqNullSafe(F.col("_k")))
+        pairs = both.filter(F.contains("_t", "_p")).select(text_id, passage_id).distinct()
         found = pairs if found is None else found.unionByName(pairs)
     blocks = -(-sizes.get(0, 0) // SHORT_BLOCK)
     for k in range(blocks):
         own = p.filter((F.col("_n") <= 0) & (F.pmod(F.xxhash64(passage_id, "_p"), F.lit(blocks)) == k)).select(passage_id, "_p")
-        pairs = t.join(F.broadcast(own), F.contains("_t", "_p")).select(text_id, passage_id)
+        pairs = t.join(F.broadcast(own), F.contains("_t", "_p")).select(text_id, passage_id).distinct()
         found = pairs if found is None else found.unionByName(pairs)
     return found
 

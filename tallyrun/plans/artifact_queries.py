@@ -61,7 +61,7 @@ def src23_file_union(spark: SparkSession, d: str) -> DataFrame:
 def snk08_run_archive(spark: SparkSession, d: str) -> DataFrame:
     """Monthly counts of orders as runs: archived, archived again (nothing is added), one changed run added; then each against the latest of its kind."""
     month = F.date_format("o_orderdate", "yyyy-MM")
-    runs = table(spark, d, "orders").groupBy(month.alias("run"), "o_orderstatus").agg(F.count("*").alias("n"))
+    runs = table(spark, d, "orders").groupBy(month.alias("run"), "o_orderstatus").agg(F.count("*").alias("n")).withColumn("month", F.col("run"))
     path = new_path(spark, "archive")
     A.archive_runs(runs, "run", path, "w1")
     A.archive_runs(runs, "run", path, "w2")

@@ -61,6 +61,9 @@ def test_mentions_of_any_length(spark):
     passages = [(10, "fox"), (11, "he quick"), (12, "quick brown fox"), (13, "he quick brown fox jumps over t"), (14, ""), (15, None), (16, "lazy dog"), (17, "absent words in here now")]
     got = matching.mentions(spark.createDataFrame(texts, "t long, a string"), "t", "a", spark.createDataFrame(passages, "p long, b string"), "p", "b").collect()
     assert sorted((r["t"], r["p"]) for r in got) == sorted((t, p) for t, a in texts for p, b in passages if a and b and b in a)
+    twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "x a b c d e"), (None, "q")], "t long, a string")
+    found = matching.mentions(twice, "t", "a", spark.createDataFrame([(5, "a b c"), (5, "b c d"), (None, "b c d e"), (6, "q")], "p long, b string"), "p", "b").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(1, 5), (1, None), (None, 5), (None, None), (None, 6)], key=repr)
     none = matching.mentions(spark.createDataFrame(texts, "t long, a string"), "t", "a", spark.createDataFrame([], "p long, b string"), "p", "b")
     assert none.collect() == []
 
