@@ -206,5 +206,5 @@ def search_forms(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """page, position, kind and text of a page's visible headings and places."""
+    """page, position, kind, text and source (the text as it is written) of a page's visible headings and places."""
     return _joined(pages.select(page, F.col(html).alias("_html")), markup.evidence, "_html").drop("_html")

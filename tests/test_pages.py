@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyrun.functions import html as H
 from tallyrun.functions import markup, scripts
 from tallyrun.operators import listings as L
+from tallyrun.plans import page_queries
 
 URL = "https://www.acme.com/careers"
 
@@ -94,3 +95,12 @@ def test_listings_once(spark):
     text = "<article><h3>Nurse</h3><a href='/jobs/nurse'>x</a></article><script>s = {jobs: [{title: 'nurse', url: '/jobs/nurse/'}, {title: 'Cook', link: '/jobs/cook', location: 'Bend'}, {title: 'No url'}]}</script>"
     got = [tuple(r) for r in L.listings(pages(spark, text, None), "page", "url", "html").orderBy("rank").collect()]
     assert got == [(0, 1, "Nurse", "https://www.acme.com/jobs/nurse", None, "card"), (0, 2, "Cook", "https://www.acme.com/jobs/cook", "Bend", "structured_state")]
+
+
+def test_evidence_as_written(spark, tmp_path):
+    head = "<h1>A &amp; B &middot;\n C&amp &quot;d&quot;</h1>"
+    pages(spark, head).select(F.col("page").alias("page_id"), "html").write.parquet(f"{tmp_path}/pages.parquet")
+    df = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    got = L.page_evidence(df, "page_id", "html").first()
+    assert (got["text"], got["source"]) == ('A & B · C& "d"', head[4:-5])
+    assert page_queries.ext08_page_evidence(spark, str(tmp_path)).first()["text"] == "A & B · C&amp &quot;d&quot;"
