@@ -115,7 +115,7 @@ RECORD_TOTALS = ("total", "count", "TotalRecordCount")
 RECORD_URLS = ("url", "Url", "jobUrl", "detailUrl")
 RECORD_PLACES = ("metro", "locationName", "jobLocation", "location", "Location")
 RECORD_PLACE_PARTS = ("city", "state", "region", "country")
-MOST_RECORDS, MOST_TITLE, MOST_PLACE = 1000, 300, 500
+MOST_TITLE, MOST_PLACE = 300, 500
 
 
 def _texts(record: Column, fields: Sequence[str]) -> Column:
@@ -140,7 +140,7 @@ def inventory_payloads(payloads: DataFrame, body: Column, endpoint: Column, temp
     read = read.withColumn("total", F.when(F.schema_of_variant(count) == "BIGINT", F.try_variant_get(count, "$", "long")))
     counted = (F.size("_counts") == 0) | (F.size("_counts") == 1) & (F.col("total") >= 0)
     records = F.coalesce(V.elements(value), F.when((F.size("_lists") == 1) & counted, V.elements(single)))
-    read = read.withColumn("_records", F.when(F.size(records) <= MOST_RECORDS, records))
+    read = read.withColumn("_records", records)
 
     def fields(record: Column) -> Column:
         places = F.filter(_texts(record, RECORD_PLACES), lambda p: F.length(p) <= MOST_PLACE)
@@ -158,9 +158,12 @@ def inventory_payloads(payloads: DataFrame, body: Column, endpoint: Column, temp
     resolved = lambda r: F.struct(r["title"], safe_normalize_url(r["url"], F.col("_endpoint")).alias("url"), r["location"])
     for step in (fields, named, resolved):
         read = read.withColumn("_records", F.transform("_records", step))
-    read = read.withColumn("_keys", F.transform("_records", lambda r: F.regexp_replace(r["url"], "/+$", "")))
+    # sorted by url, a record is the first of its url where the one before it has another
+    read = read.withColumn("_sorted", F.sort_array(F.transform("_records", lambda r, i: F.struct(F.regexp_replace(r["url"], "/+$", "").alias("key"), i.alias("i"), r.alias("record")))))
+    firsts = F.filter("_sorted", lambda x, k: (k == 0) | (F.get("_sorted", k - 1)["key"] != x["key"]))
+    read = read.withColumn("_firsts", F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"], x["record"]))))
     sound = F.coalesce(F.forall("_records", lambda r: r["title"].isNotNull() & r["url"].isNotNull()), F.lit(False))
-    once = F.filter("_records", lambda r, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)
+    once = F.transform("_firsts", lambda x: x["record"])
     full = F.coalesce(F.when(F.col("total").isNull(), F.col("_hint")).otherwise(F.col("total") == F.size("_records")), F.lit(False))
     none = F.array().cast("array<struct<title: string, url: string, location: string>>")
     return read.select(*payloads.columns, F.when(sound, once).otherwise(none).alias("rows"), F.when(sound, F.col("total")).alias("total"), (sound & full).alias("complete"))

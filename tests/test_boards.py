@@ -79,3 +79,10 @@ def test_inventory_payloads(spark):
     got = {r["k"]: r for r in boards.inventory_payloads(df, F.col("body"), F.lit("https://a.com/api"), F.col("t"), F.col("h")).collect()}
     assert [(len(got[k]["rows"]), got[k]["total"], got[k]["complete"]) for k in range(len(cases))] == [c[3:] for c in cases]
     assert got[11]["rows"][0]["url"] == "https://a.com/7/line-cook"
+
+
+def test_long_inventories_are_whole(spark):
+    jobs = [{"title": f"Cook {k % 1500}", "url": f"/j/{k % 1500}" + "/" * (k // 1500)} for k in range(3000)]
+    df = spark.createDataFrame([(json.dumps({"jobs": jobs, "total": 3000}),)], "body string")
+    got = boards.inventory_payloads(df, F.col("body"), F.lit("https://a.com/api"), F.lit(None).cast("string"), F.lit(False)).first()
+    assert [r["title"] for r in got["rows"]] == [f"Cook {k}" for k in range(1500)] and got["rows"][7]["url"] == "https://a.com/j/7" and (got["total"], got["complete"]) == (3000, True)
