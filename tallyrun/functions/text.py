@@ -94,15 +94,14 @@ def state_code(location: Column) -> Column:
     codes = "|".join(sorted(set(US_STATES.values())))
     code = F.nullif(F.regexp_extract(location, rf"(?:^|,\s*)({codes})(?:\s*\d{{5}})?\s*(?:[,;|+]|$)", 1), F.lit(""))
     low = F.concat(F.lit(" "), F.array_join(words(location), " "), F.lit(" "))
-    names = reduce(lambda acc, kv: acc.when(low.contains(f" {kv[0]} "), kv[1]), sorted(US_STATES.items(), key=lambda kv: -len(kv[0])), F.when(F.lit(False), ""))
-    return F.coalesce(code, names)
+    names = lambda t: reduce(lambda acc, kv: acc.when(t.contains(f" {kv[0]} "), kv[1]), sorted(US_STATES.items(), key=lambda kv: -len(kv[0])), F.when(F.lit(False), ""))
+    return F.coalesce(code, _let(low, names))
 
 
 def location_region(location: Column) -> Column:
     """``us`` for a state or the country's name, else a country named in the text, else null."""
-    w = words(location)
     named = {"uk": ("uk", "england", "scotland", "wales", "london"), "ca": ("canada", "ontario", "toronto"), "de": ("germany", "berlin"), "fr": ("france", "paris"), "in": ("india", "bangalore"), "au": ("australia", "sydney"), "ie": ("ireland", "dublin")}
-    other = reduce(lambda acc, kv: acc.when(F.arrays_overlap(w, F.array(*map(F.lit, kv[1]))), kv[0]), named.items(), F.when(F.lit(False), ""))
+    other = _let(words(location), lambda w: reduce(lambda acc, kv: acc.when(F.arrays_overlap(w, F.array(*map(F.lit, kv[1]))), kv[0]), named.items(), F.when(F.lit(False), "")))
     us = state_code(location).isNotNull() | F.lower(location).rlike(r"\b(united states|usa|u\.s\.)\b")
     return F.when(us, "us").otherwise(other)
 

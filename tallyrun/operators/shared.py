@@ -27,6 +27,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to as many tasks as a shuffle has, for steps that cost much for their bytes: a small file would be a single task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
     """A row per element that is not null.
 

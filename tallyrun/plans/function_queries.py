@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions import privacy, scores, text, urls
 from ..operators import matching as M
 from ..operators import summaries as S
+from ..operators.shared import spread
 from .tables import table
 
 
@@ -101,7 +102,7 @@ _PLACES = ("Austin, TX", "Austin, TX 78701; Remote", "Berlin, Germany", "Portlan
 def fn27_places(spark: SparkSession, d: str) -> DataFrame:
     place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("p_partkey") % len(_PLACES) + 1).cast("int"))
     target = F.lit("Austin, Texas")
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part")).select(
         "p_partkey", F.size(text.location_options(place)).alias("options"), text.state_code(place).alias("state"), text.location_region(place).alias("region"),
         text.location_score(place, target).alias("score"), text.location_class(place, target).alias("class"), text.strict_location(place, target).alias("strict"),
         text.location_conflict(place, target).alias("conflict"), text.url_location_bonus(F.lit("https://a.com/jobs/austin-texas"), place).alias("bonus"),
