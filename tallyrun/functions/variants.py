@@ -79,10 +79,11 @@ def objects(value: Column, containers: Sequence[str] = JOB_CONTAINERS, most_dept
     """
     root = F.struct(F.array().cast("array<int>").alias("at"), F.lit(False).alias("inside"), value.alias("value"))
     start = F.struct(F.array(root).cast(_NODES).alias("level"), F.array().cast(_NODES).alias("found"))
-    step = lambda acc, _: F.struct(
+    deeper = lambda acc: F.struct(
         F.flatten(F.transform(acc["level"], lambda n: _below(n, containers))).alias("level"),
         F.concat(acc["found"], F.filter(acc["level"], lambda n: members(n["value"]).isNotNull())).alias("found"),
     )
+    step = lambda acc, _: F.when(F.size(acc["level"]) > 0, deeper(acc)).otherwise(acc)
     found = F.aggregate(F.sequence(F.lit(0), F.lit(most_depth)), start, step, lambda acc: acc["found"])
     order = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
     return F.array_sort(found, order)

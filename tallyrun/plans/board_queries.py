@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..operators.shared import exploded, new_path
+from ..operators.shared import exploded, new_path, spread
 from ..sources import boards
 from .tables import table
 
@@ -46,7 +46,7 @@ def captured_boards(spark: SparkSession, d: str) -> DataFrame:
     body = F.element_at(F.array(*bodies), (F.col("l_suppkey") % 4 + 1).cast("int"))
     name = F.element_at(F.array(*map(F.lit, ("workday", "greenhouse", "lever", "smartrecruiters"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
     broken = ~whole & (F.col("l_suppkey") % 7 == 2) & (F.col("page") == 1)
-    made = pages.where(~lost).select(F.col("l_suppkey").alias("board"), name.alias("provider"), "page", _board().alias("board_url"), F.when(broken, F.substring(body, 1, 40)).otherwise(body).alias("body"))
+    made = spread(pages.where(~lost)).select(F.col("l_suppkey").alias("board"), name.alias("provider"), "page", _board().alias("board_url"), F.when(broken, F.substring(body, 1, 40)).otherwise(body).alias("body"))
     path = new_path(spark, "boards")
     made.write.parquet(path)
     return spark.read.schema(made.schema).parquet(path)
@@ -93,7 +93,7 @@ def fn64_job_records(spark: SparkSession, d: str) -> DataFrame:
     placed = F.struct(F.array(F.struct(F.col("p_name").alias("name"))).alias("openings"))
     inner = F.when(F.col("p_partkey") % 2 == 0, F.to_json(typed)).otherwise(F.to_json(placed))
     nested = F.concat(F.expr("repeat('{\"x\":', cast((p_size + p_partkey) % 30 as int))"), inner, F.expr("repeat('}', cast((p_size + p_partkey) % 30 as int))"))
-    parts = table(spark, d, "part").select("p_partkey", depth.alias("depth"), nested.alias("body"))
+    parts = spread(table(spark, d, "part")).select("p_partkey", depth.alias("depth"), nested.alias("body"))
     return exploded(parts, V.job_records(F.try_parse_json("body")), "r").select("p_partkey", "depth", V.first_text(F.col("r"), ("title", "name")).alias("title"))
 
 
