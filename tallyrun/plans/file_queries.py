@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structured as X
-from ..operators.shared import new_path
+from ..operators.shared import exploded, new_path, spread
 from ..sources import files, sinks
 from .tables import table
 
@@ -75,12 +75,12 @@ def _posting_page() -> Column:
 
 
 def ext07_job_postings(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", F.explode(X.job_postings(_posting_page(), F.lit("https://a.com/page#x"))).alias("r"))
+    rows = exploded(spread(table(spark, d, "part")), X.job_postings(_posting_page(), F.lit("https://a.com/page#x")), "r")
     return rows.select("p_partkey", "r.*")
 
 
 def ext19_organizations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.posexplode(X.organization_names(_posting_page())).alias("position", "name"))
+    return spread(table(spark, d, "part")).select("p_partkey", F.posexplode_outer(X.organization_names(_posting_page())).alias("position", "name")).where("position is not null")
 
 
 def ext28_page_links(spark: SparkSession, d: str) -> DataFrame:
