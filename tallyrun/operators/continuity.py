@@ -73,9 +73,9 @@ _FORMS = {
 }
 
 
-def _holds(record: Column, test: str, paths: Sequence[str], values: Sequence[str]) -> Column:
-    """Whether a rule's test holds; a null counts as broken."""
-    texts = [string_at(record, p) for p in paths]
+def _holds(record: Column, test: str, paths: Sequence[str], values: Sequence[str], string: Mapping[str, Column]) -> Column:
+    """Whether a rule's test holds; a null counts as broken.  ``string`` has the strings at the paths."""
+    texts = [string[p] for p in paths]
     filled = reduce(lambda a, b: a & b, [t.isNotNull() & (t != "") for t in texts])
     if test.startswith("same_"):
         form = _FORMS[test.removeprefix("same_")]
@@ -95,10 +95,13 @@ def continuity_issues(rows: DataFrame, record: str, rules: Sequence[tuple] = RUL
     value = F.col(record)
     asserted = V.members(at_path(value, _A)).isNotNull()
     whole = reduce(lambda a, b: a & b, [V.members(at_path(value, f"{_A}.{p}")).isNotNull() for p in _PARTS])
-    staged = rows.withColumns({"_asserted": F.coalesce(asserted, F.lit(False)), "_whole": F.coalesce(asserted & whole, F.lit(False))})
+    # the strings are columns of a projection of their own: each is read once, however many tests use it
+    string = {p: f"_string_{k}" for k, p in enumerate(dict.fromkeys(p for _, _, _, paths, _ in rules for p in paths))}
+    staged = rows.withColumns({"_asserted": F.coalesce(asserted, F.lit(False)), "_whole": F.coalesce(asserted & whole, F.lit(False)), **{c: string_at(value, p) for p, c in string.items()}})
+    texts = {p: F.col(c) for p, c in string.items()}
     due = {0: F.lit(True), 1: F.col("_asserted"), 2: F.col("_whole")}
-    broken = [F.when(due[stage] & ~F.coalesce(_holds(value, test, paths, values), F.lit(False)), issue) for issue, stage, test, paths, values in rules]
-    return staged.withColumn(name, F.array_sort(F.array_distinct(F.array_compact(F.array(*broken))))).drop("_asserted", "_whole")
+    broken = [F.when(due[stage] & ~F.coalesce(_holds(value, test, paths, values, texts), F.lit(False)), issue) for issue, stage, test, paths, values in rules]
+    return staged.withColumn(name, F.array_sort(F.array_distinct(F.array_compact(F.array(*broken))))).drop("_asserted", "_whole", *string.values())
 
 
 def measurement_gate(sides: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import continuity as C
 from ..operators.causes import classify_causes
+from ..operators.shared import spread
 from .tables import table
 
 
@@ -27,7 +28,7 @@ def _record() -> Column:
 
 
 def cmp05_continuity_issues(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_orderkey", F.try_parse_json(_record()).alias("record"))
+    rows = spread(table(spark, d, "orders")).select("o_orderkey", F.try_parse_json(_record()).alias("record"))
     return C.continuity_issues(rows, "record").drop("record")
 
 

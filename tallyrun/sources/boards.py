@@ -7,6 +7,7 @@ have; adding a provider adds a row.  Payloads are VARIANT, so shapes of any nest
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import structured as X
 from ..functions import variants as V
 from ..functions.urls import safe_normalize_url
-from ..operators.shared import exploded
+from ..operators.shared import exploded, spread
 
 PROVIDER_SCHEMA = "provider string, items string, total string, titles array<string>, urls array<string>, template string, id string, places array<string>, page_size int"
 # The payload paths of public board interfaces.  Templates make a url from the board's and an id.
@@ -41,9 +42,21 @@ def provider_table(spark: SparkSession, rows: Sequence[tuple] = PROVIDERS) -> Da
     return spark.createDataFrame(list(rows), PROVIDER_SCHEMA)
 
 
-def _first(value: Column, paths: Column, f) -> Column:
+def _known(providers: DataFrame) -> dict[str, list[str]]:
+    """The distinct paths in each column of the provider table, which is small: so many rows as there are kinds of boards."""
+    rows = providers.select("items", "total", "id", "titles", "urls", "places").distinct().collect()
+    cells = {c: [x for r in rows if r[c] is not None for x in ([r[c]] if isinstance(r[c], str) else r[c])] for c in ("items", "total", "id", "titles", "urls", "places")}
+    return {c: sorted({x for x in paths if x is not None}) for c, paths in cells.items()}
+
+
+def _at(value: Column, path: Column, known: Sequence[str]) -> Column:
+    """The value at a path that is one of the known ones, which are constants of the plan: a path from a column would be parsed for every row."""
+    return reduce(lambda acc, p: acc.when(path == p, F.try_variant_get(value, p, "variant")), known, F.when(F.lit(False), value))
+
+
+def _first(value: Column, paths: Column, known: Sequence[str], f) -> Column:
     """The first of the paths (an array column) with a value that ``f`` takes."""
-    return F.get(F.filter(F.transform(paths, lambda p: f(F.try_variant_get(value, p, "variant"))), lambda x: x.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(paths, lambda p: f(_at(value, p, known))), lambda x: x.isNotNull()), F.lit(0))
 
 
 def listed(pages: DataFrame, providers: DataFrame) -> DataFrame:
@@ -51,14 +64,16 @@ def listed(pages: DataFrame, providers: DataFrame) -> DataFrame:
 
     ``pages`` has board, provider, page (its order), board_url and body (JSON text).
     """
-    read = pages.join(providers, "provider").withColumn("items", F.try_variant_get(F.try_parse_json("body"), F.col("items"), "variant"))
-    item = read.select("board", "provider", "page", "board_url", "titles", "urls", "template", "id", "places", F.posexplode(V.elements(F.col("items"))).alias("position", "item"))
+    known = _known(providers)
+    read = spread(pages).join(F.broadcast(providers), "provider").withColumn("_json", F.try_parse_json("body"))
+    read = read.withColumn("items", _at(F.col("_json"), F.col("items"), known["items"]))
+    item = read.select("board", "provider", "page", "board_url", "titles", "urls", "template", "id", "places", F.posexplode_outer(V.elements(F.col("items"))).alias("position", "item")).where("position is not null")
     board = F.regexp_replace("board_url", r"/+$", "")
-    made = F.replace(F.replace("template", F.lit("{board}"), board), F.lit("{id}"), V.plain(F.try_variant_get("item", F.coalesce("id", F.lit("$")), "variant")))
+    made = F.replace(F.replace("template", F.lit("{board}"), board), F.lit("{id}"), V.plain(_at(F.col("item"), F.col("id"), known["id"])))
     # each step is a projection of its own, so what a later one uses more than once is worked out once
     found = item.select(
-        "board", "provider", "page", "position", "board_url", _first(F.col("item"), F.col("titles"), V.plain).alias("title"),
-        F.coalesce(_first(F.col("item"), F.col("urls"), V.plain), F.when(F.col("id").isNotNull(), made)).alias("url"), _first(F.col("item"), F.col("places"), V.raw).alias("place"),
+        "board", "provider", "page", "position", "board_url", _first(F.col("item"), F.col("titles"), known["titles"], V.plain).alias("title"),
+        F.coalesce(_first(F.col("item"), F.col("urls"), known["urls"], V.plain), F.when(F.col("id").isNotNull(), made)).alias("url"), _first(F.col("item"), F.col("places"), known["places"], V.raw).alias("place"),
     )
     row = F.struct("title", safe_normalize_url(F.col("url"), F.col("board_url")).alias("url"), X.location_text(F.col("place")).alias("location"))
     sound = F.filter(F.array(row), lambda r: r["title"].isNotNull() & r["url"].isNotNull())
@@ -71,12 +86,15 @@ def page_states(pages: DataFrame, providers: DataFrame) -> DataFrame:
     Pages are read in order up to the first that is broken (no JSON, or no list where the provider keeps it) or that shows the board is complete:
     an empty page, a short one where no total is claimed, or one that reaches the highest total claimed so far.
     """
-    body = F.try_parse_json("body")
-    total = V.plain(F.try_variant_get(body, F.coalesce("total", F.lit("$")), "variant")).try_cast("long")
-    slim = pages.join(providers, "provider").select(
-        "board", "provider", "page", "page_size", F.size(V.elements(F.try_variant_get(body, F.col("items"), "variant"))).alias("n"),
-        F.when(F.col("total").isNotNull() & (total >= 0), total).alias("claimed"),
+    known = _known(providers)
+    # a body is parsed once, and the count of its list is read off that
+    read = spread(pages).join(F.broadcast(providers), "provider").withColumn("_json", F.try_parse_json("body"))
+    read = read.select(
+        "board", "provider", "page", "page_size", F.size(V.elements(_at(F.col("_json"), F.col("items"), known["items"]))).alias("n"),
+        _at(F.col("_json"), F.col("total"), known["total"]).alias("_total"),
     )
+    total = V.plain(F.col("_total")).try_cast("long")
+    slim = read.select("board", "provider", "page", "page_size", "n", F.when(total >= 0, total).alias("claimed"))
     slim = slim.withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
     so_far = Window.partitionBy("board").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = slim.withColumns({"seen": F.sum("n").over(so_far), "total": F.max("claimed").over(so_far)})
