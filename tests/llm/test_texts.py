@@ -196,3 +196,27 @@ def test_scratch_tables(spark):
     a, b = scratch(spark.range(3), "a"), scratch(spark.range(4), "b")
     scratch.drop(a)
     assert b.count() == 4 and [t for t, _ in scratch.tables] == [b]
+
+
+def test_windows_beside_a_hub_equal_brute_force():
+    """Windows of edited copies: which are similar to the hub's, and that two similar ones, not both similar to it, share a key."""
+    r, width, starts = np.random.default_rng(5), 46, 8
+    hub = r.integers(0, 2**63, width + starts - 1).astype(np.uint64)
+    base = np.where(r.random(len(hub)) < 0.25, r.integers(0, 2**63, len(hub)).astype(np.uint64), hub)
+    x = np.stack([np.where(r.random(len(hub)) < 0.06, r.integers(0, 2**63, len(hub)).astype(np.uint64), base) for _ in range(30)])
+    n = len(x)
+    close, low, high = substring_dedup.compared(x, np.stack([hub] * n), np.zeros(n, int), np.full(n, len(hub)), np.full(n, starts), width)
+
+    def alike(p, q):
+        return 100 * len(set(p) & set(q)) >= 80 * len(set(p) | set(q))
+
+    met = 0
+    for i in range(starts):
+        windows = x[:, i : i + width]
+        assert [alike(w, hub[i : i + width]) for w in windows] == close[:, i].tolist()
+        keys = [set(x[k][(low[k] <= i) & (high[k] >= i)]) for k in range(n)]
+        for a, b in itertools.combinations(range(n), 2):
+            if alike(windows[a], windows[b]) and not (close[a, i] and close[b, i]):
+                met += 1
+                assert keys[a] & keys[b]
+    assert met
