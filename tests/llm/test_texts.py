@@ -123,6 +123,27 @@ def test_passages_of_variants_and_copies_equal_brute_force(spark):
     assert [got[i]["n_dup_words"] for i in range(len(texts))] == [len(c) for c in covered]
 
 
+def test_runs_of_a_word_are_one_stretch(spark):
+    """A run's windows have the same few shingles: one row a function and set instead of one a window, and all its words are found."""
+    values = np.array([1] * 300 + [*range(2, 202)] + [1] * 100 + [*range(300, 400)], np.uint64)
+    width, few = 46, 33
+    ordinary, first, last = substring_dedup.repetitive(values, width)
+    sets = [frozenset(values[i : i + width].tolist()) for i in range(len(values) - width + 1)]
+    assert ordinary.tolist() == [len(x) >= few for x in sets]
+    low = [80 * len(x) <= 100 * (few - 1) for x in sets]
+    starts = [i for i, x in enumerate(sets) if low[i] and (i == 0 or sets[i - 1] != x)]
+    assert first.tolist() == starts and all(len(set(sets[a : b + 1])) == 1 and (b + 1 == len(sets) or sets[b + 1] != sets[a]) for a, b in zip(first, last, strict=True))
+    r = random.Random(8)
+    run, other = ["same"] * 300, words(r, 100)
+    texts = [run + other, words(r, 80) + ["same"] * 120 + words(r, 80), words(r, 200), words(r, 50) + ["twice"] * 90 + words(r, 50), words(r, 50) + ["often"] * 120 + words(r, 50)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    assert substring_dedup._all_windows(docs.filter("doc_id = 0"), 5, width, 6).count() < 400
+    got = {x["doc_id"]: x for x in substring_dedup.near_duplicate_passages(docs).collect()}
+    assert [got[i]["class_id"] for i in range(5)] == [0, 0, 2, 3, 4]
+    assert got[0]["starts"][0] == 0 and 300 <= got[0]["ends"][0] <= 340 and got[1]["starts"][0] <= 80 and got[1]["ends"][0] >= 200
+    assert got[2]["n_dup_words"] == got[3]["n_dup_words"] == 0 and got[4]["starts"][0] <= 50 and got[4]["ends"][0] >= 170
+
+
 def test_compact_windows_hold_every_subsequence():
     values = np.random.default_rng(3).permutation(60).astype(np.uint64) << np.uint64(30)
     found = {c: (a, b) for a, c, b in substring_dedup.compact_windows(values, 7)}
