@@ -14,7 +14,10 @@ Links are confirmed on full sets, by comparisons with hubs only, so a bucket's m
    shingle, which leaves common(x, y) <= common(y, h) < t (|y| + |h|), so |x| < |h|; then they lack the same of h, at least
    half of what |x - y| + |y - x| would exceed a link's by.  In either case they have one of the first shingles in common, in an order
    by rising frequency, of which so many are looked at as the shared number leaves (the prefix filter).  These shingles, each with
-   the hub, are the buckets of the next round, where up to ``HUBS`` members leave as hubs; rounds go on until no bucket is open.
+   the hub, are the new buckets.
+4. A pair that is still open lies in two components, so one of it is outside the largest component of its bucket.  Where at most ``HUBS`` members
+   are outside, these are compared with all members of the bucket, which closes it.  The other buckets get a hub of their own and go through 3 again, until
+   the pairs left are ``PAIRS`` a class or a round lessens them by less than a quarter; then all of them are compared, so the rounds end.
    Lightly changed copies add mostly shingles of their own, and these make no bucket.
 Components are joined by star contraction.  Comparisons with one hub are dealt to ``SALTS`` tasks.
 
@@ -44,8 +47,9 @@ SIMILARITY = 80
 BANDS, ROWS = 40, 5
 CIRCLE_BITS = 21
 HUBS = 16
-LEFT = 3000
-"""When no more members than these are left in all buckets, each of them is a hub, which ends the rounds."""
+"""A bucket of at most so many members outside its largest component is settled by comparing these with all its members."""
+PAIRS = 2
+"""When the pairs of members of different components are no more than so many a banded class, all of them are compared, which ends the rounds."""
 SALTS = 64
 """Tasks that the comparisons with one hub are dealt to."""
 _SEED = 41
@@ -193,15 +197,40 @@ def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _next_buckets(met: DataFrame, still: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, n, d) of the rarest shingles that the nodes of ``still`` (hub, node, n) add to the hub or lack of it."""
-    own = met.withColumnsRenamed({"a": "hub", "b": "node"}).join(still, ["hub", "node"]).withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("common"))
+    """(key, node, n, c, d, root) of the rarest shingles that the nodes of ``still`` (hub, node, n) add to the hub or lack of it; c is what
+    a node has in common with the hub, d how many shingles only one of them has.  Buckets of one hub and the same members are one."""
+    own = met.withColumnsRenamed({"a": "hub", "b": "node", "common": "c"}).join(still, ["hub", "node"]).withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("c"))
+    same = ["hub", "node", "n", "c", "d"]
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(take).alias("take"), F.col(all_).alias("all")) for k, (take, all_) in enumerate((("add", "adds"), ("lack", "lacks")))]))
-    one = own.select("hub", "node", "n", "d", kinds.alias("x")).select("hub", "node", "n", "d", "x.kind", "x.take", F.explode("x.all").alias("shingle"))
+    one = own.select(*same, kinds.alias("x")).select(*same, "x.kind", "x.take", F.explode("x.all").alias("shingle"))
     one = one.withColumn("key", F.xxhash64("hub", "shingle"))
     counts = one.groupBy("key").agg(F.count("*").alias("often"))
     order = Window.partitionBy("hub", "node", "kind").orderBy("often", "key")
     first = one.join(counts, "key").withColumn("place", F.row_number().over(order)).filter("place <= take and often > 1")
-    return _open(first.select("key", "node", "n", "d"), roots)
+    opened = _open(first.select("key", *same), roots)
+    alike = opened.groupBy("key").agg(F.xxhash64(F.min("hub"), F.count("*"), F.sum(F.xxhash64("node").cast("decimal(38,0)"))).alias("alike"))
+    return opened.join(alike, "key").select(F.col("alike").alias("key"), "node", "n", "c", "d", "root").dropDuplicates(["key", "node"])
+
+
+def _sided(members: DataFrame) -> DataFrame:
+    """The members with ``minor``, whether they lie outside the component of most members of their bucket, and the number ``n_minor`` of such members in it."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("m"))
+    most = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), (F.sum("m") - F.max("m")).alias("n_minor"))
+    return members.join(most, "key").withColumn("minor", F.col("root") != F.col("most.root")).drop("most")
+
+
+def _across(members: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of members of one bucket and different components that sizes and what either shares with the bucket's hub let link.
+
+    One of them is always ``minor``; about ``HUBS`` of these meet all members of a bucket in one task.
+    """
+    blocks = F.ceil(F.col("n_minor") / HUBS)
+    few = members.filter("minor").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).select("key", "block", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "c", "root")])
+    all_ = members.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "n", "c", "root", "minor")
+    most = F.least("c", "a_c") + F.least(F.col("n") - F.col("c"), F.col("a_n") - F.col("a_c"))
+    may = (100 + similarity) * F.least(most, "n", "a_n") >= similarity * (F.col("n") + F.col("a_n"))
+    met = few.join(all_, ["key", "block"]).filter((F.col("root") != F.col("a_root")) & (~F.col("minor") | (F.col("a_node") < F.col("node"))) & may)
+    return met.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -235,30 +264,28 @@ def link_classes(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY
     usual = state.join(own, "node").groupBy("key", "own").agg(F.count("*").alias("often"))
     lead = usual.groupBy("key").agg(F.max(F.struct("often", "own")).alias("m")).select("key", F.col("m.own").alias("hub"))
     lead = state.groupBy("key").agg(F.min("node").alias("least")).join(lead, "key", "left").select("key", F.coalesce("hub", "least").alias("hub"))
-    state, more = scratch(state.join(lead, "key"), "open"), None
+    state, before = scratch(state.join(lead, "key"), "open"), None
     scratch.clear(rows, classes, sets, roots, state)
+    enough = PAIRS * sets.count()
     while not state.isEmpty():
         rest = state.filter("node != hub")
-        if more is not None:
-            rest = rest.join(more.select("key", F.col("other").alias("node")), ["key", "node"], "left_anti")
-        lows = rest.groupBy("key").agg(F.min("n").alias("low"))
-        to_lead = state.filter("node != hub").join(lows, "key").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("low").alias("low"))
+        to_lead = rest.join(rest.groupBy("key").agg(F.min("n").alias("low")), "key").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("low").alias("low"))
         met = scratch(_compared(to_lead, sets, similarity, leading=True), "compared")
-        new = _links(met, similarity)
-        if more is not None:
-            apart = (F.col("root") != F.col("other_root")) & (100 * F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
-            pairs = state.join(more, "key").filter(apart).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-            new = new.union(_links(_compared(scratch(pairs, "pairs"), sets, similarity), similarity))
-        roots = _joined(roots, scratch(new, "links"), scratch)
+        roots = _joined(roots, scratch(_links(met, similarity), "links"), scratch)
         still = _open(rest, roots).select("hub", "node", "n").distinct()
-        then = scratch(_next_buckets(met, still, roots), "buckets")
-        slot = F.pmod(F.xxhash64("node"), F.lit(HUBS)) if then.count() > LEFT else F.col("node")
-        hubs = then.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("d", "node", "n", "root")).alias("m"))
-        lead = hubs.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("hub"))
-        now = scratch(then.join(lead, "key").select("key", "node", "n", "root", "hub"), "open")
-        more = scratch(hubs.select("key", F.col("m.node").alias("other"), F.col("m.n").alias("other_n"), F.col("m.root").alias("other_root")), "hubs")
-        state = now
-        scratch.clear(rows, classes, sets, roots, state, more)
+        then = scratch(_sided(_next_buckets(met, still, roots)), "buckets")
+        cost = then.agg(F.sum("n_minor")).first()[0] or 0
+        last = cost <= enough or (before is not None and cost > before * 3 / 4)
+        pairs = scratch(_across(then if last else then.filter(F.col("n_minor") <= HUBS), similarity), "pairs")
+        links = scratch(_links(_compared(pairs, sets, similarity), similarity), "links")
+        roots = _joined(roots, links, scratch)
+        if last:
+            break
+        then, before = then.filter(F.col("n_minor") > HUBS), cost
+        near = then.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("d", "node")).alias("m"))
+        lead = near.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("hub"))
+        state = scratch(then.join(lead, "key").select("key", "node", "n", "root", "hub"), "open")
+        scratch.clear(rows, classes, sets, roots, state)
     known = classes.select("class", "node", "rep", "n_docs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes"))
     found = scratch(known.join(least, "root").select("class", "rep", "n_docs", "n_classes", "root", "component_id"), "found")

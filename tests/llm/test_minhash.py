@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from tallyrun.llm import minhash
 from tallyrun.llm.components import components
 from tallyrun.llm.minhash import BANDS, ROWS, band_keys, drop_near_duplicates, near_duplicates, prefixes, signature
 from tallyrun.llm.textvec import constants
@@ -111,3 +112,45 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(found[i] == 0 for i in range(61)) and all(found[i] == 100 for i in range(100, 160))
+
+
+def test_rounds_end_in_families_around_the_threshold(spark, monkeypatch):
+    """Members beside the largest component of a bucket are settled at once, not in round after round, and nothing is lost by it."""
+    r = random.Random(5)
+    rows = []
+    base = [f"w{k}" for k in range(120)]
+    for d in range(260):
+        own = list(base)
+        for _ in range(r.randint(0, 4) if d % 8 else r.randint(5, 7)):
+            own[r.randrange(120)] = f"new{r.randrange(5)}"
+        rows.append((d, " ".join(own)))
+    tables = []
+    write = minhash.Scratch.__call__
+
+    def counted(self, df, name):
+        tables.append(name)
+        assert tables.count("buckets") <= 3, "rounds do not end"
+        return write(self, df, name)
+
+    monkeypatch.setattr(minhash.Scratch, "__call__", counted)
+    monkeypatch.setattr(minhash, "HUBS", 4)
+    for bound in ("LEFT", "PAIRS"):
+        monkeypatch.setattr(minhash, bound, 0, raising=False)
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA), 4)
+    assert sorted(map(tuple, found.collect())) == sorted(brute(rows, 4))
+    assert "buckets" in tables
+
+
+def test_pairs_across_lose_no_link(spark):
+    """Every pair of members of one bucket that may link and lies in two components is met, each once, however many tasks it is dealt to."""
+    r, sets, rows = np.random.default_rng(9), {}, []
+    hub = np.arange(40)
+    for node in range(90):
+        sets[node] = set(hub[r.random(40) > r.random() / 3].tolist()) | set(r.integers(100, 112, r.integers(0, 12)).tolist())
+        rows.append((7, node, len(sets[node]), len(sets[node] & set(hub.tolist())), 0, node % 3 if node % 5 else node))
+    members = minhash._sided(spark.createDataFrame(rows, "key long, node long, n long, c long, d long, root long"))
+    assert members.first()["n_minor"] > minhash.HUBS
+    met = [tuple(sorted((x["a"], x["b"]))) for x in minhash._across(members, 80).collect()]
+    root = {x[1]: x[5] for x in rows}
+    wanted = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(met) == len(set(met)) and wanted and wanted <= set(met)
